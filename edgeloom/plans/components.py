@@ -69,6 +69,14 @@ def connected_components(
     return canonical(labels, representative).unionByName(alone)
 
 
+def star_components(edges: DataFrame, representative: str = "min") -> DataFrame:
+    """``connected_components`` by DataFrame operations alone: large and small stars to the end, without the local kernel."""
+    source = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).dropna()
+    labels = _alternate(stable(normalize(source)), base=-1)
+    alone = source.where("u = v").select(F.col("u").alias("node")).distinct().join(labels.select("node"), "node", "left_anti")
+    return canonical(labels, representative).unionByName(alone.select("node", F.col("node").alias("component")))
+
+
 def _local(edges: DataFrame, m: int, base: int) -> DataFrame:
     """Partition-local forests until the rest fits one task; falls back to stars if they stop shrinking."""
     while m > base:

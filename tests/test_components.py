@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from edgeloom import connected_components
 from edgeloom.operators import checks
 from edgeloom.plans import contraction, measure
-from edgeloom.plans.components import ALGORITHMS
+from edgeloom.plans.components import ALGORITHMS, star_components
 from edgeloom.plans.kernel import components_of
 from edgeloom.sources import generators
 
@@ -137,3 +137,11 @@ def test_minimized_edges_keep_components(spark):
     e = generators.gilbert(spark, 200, 1.2, 9)
     less = contraction.minimized_inter_edges(e, 8, 200)
     assert rows(connected_components(less)) == union_find(rows(e))
+
+
+def test_stars_alone(spark):
+    for e, _ in graphs(spark).values():
+        assert rows(star_components(e, "max")) == union_find(rows(e))
+    make = lambda r: spark.createDataFrame(r, "u long, v long")
+    assert rows(star_components(make([]))) == []
+    assert rows(star_components(make([(-5, 3), (3, 3), (8, 8), (None, 1)]))) == [(-5, -5), (3, -5), (8, 8)]
