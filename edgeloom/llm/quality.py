@@ -17,8 +17,8 @@ BUCKETS = 1 << 14
 #: Mean log ratio per gram from which a document is kept; 0 would ask it to be likelier under the target. Trusted texts score
 #: from about -0.03 up whatever their language, texts full of symbols from about -0.06 down.
 THRESHOLD = -0.05
-#: Added to every bucket's count.
-SMOOTHING = 1.0
+#: Counts that the corpus's own shares add to the target: what the target has not seen much of scores near 0.
+SMOOTHING = float(BUCKETS)
 #: At most so many trusted documents fit the target; the smallest hashes of their ids are taken.
 TRUSTED = 20_000
 
@@ -78,7 +78,7 @@ def _grams(words: Column, buckets: int) -> Column:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, limit: int = TRUSTED) -> list[float]:
-    """For each bucket, log of its smoothed share in the target over that in the corpus.
+    """For each bucket, log of its smoothed share in the target over that in the corpus; 0 for buckets without a gram.
 
     trusted: ``doc_id`` of trusted documents. The corpus is counted whole; the target is fitted on ``limit`` trusted
     documents at most. Counts are summed map-side, so what is shuffled and collected is two numbers a bucket.
@@ -89,13 +89,11 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoo
     d = d.join(F.broadcast(ids), "doc_id", "left")  # bounded by limit
     grams = d.select("target", F.explode(_grams(F.col("words"), buckets)).alias("b"))
     counted = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("target").alias("target")).collect()
-    raw, target = [0.0] * buckets, [0.0] * buckets
-    for b, r, t in counted:
-        raw[b], target[b] = float(r), float(t)
-    if not sum(target):
-        return [0.0] * buckets
-    shift = math.log(sum(raw) + smoothing * buckets) - math.log(sum(target) + smoothing * buckets)
-    return [math.log(t + smoothing) - math.log(r + smoothing) + shift for r, t in zip(raw, target, strict=True)]
+    table = [0.0] * buckets
+    all_raw, all_target = sum(r for _, r, _ in counted), sum(t for _, _, t in counted)
+    for b, r, t in counted if all_target else []:
+        table[b] = math.log((t * all_raw / r + smoothing) / (all_target + smoothing))
+    return table
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
