@@ -1,13 +1,14 @@
 """Document fingerprints: one-permutation MinHash with optimal densification, packed low-order bits, bias-corrected.
 
 DataFrame functions only. One hash for each five-word shingle; its top bits name the bin, and a sort of a primitive array
-brings each bin's smallest value to the front. Empty bins borrow from a full bin that a fixed random order for that bin
-names first, so equal sets borrow alike and bins borrow independently.
+brings each bin's smallest value to the front. An empty bin borrows from the first full bin in a random order of its own, so
+equal sets borrow alike and bins borrow independently.
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ BIN_BITS = 8
 LOW_BITS = 8
 #: Ranges of the id order in ``with_next``.
 RANGES = 256
-#: Donors that an empty bin tries one by one before it looks at all of them.
-TRIES = 8
+#: Donors that an empty bin tries one by one before it looks at all full bins; with few full bins it does so at once.
+TRIES = 16
 
 
 def shingle_hashes(words: Column, k: int = SHINGLE) -> Column:
@@ -33,7 +34,7 @@ def shingle_hashes(words: Column, k: int = SHINGLE) -> Column:
 
 
 def donor_orders(bins: int) -> list[list[int]]:
-    """For each bin, all bins in a random order of its own (fixed seed)."""
+    """For each bin, all bins in a random order of its own, from a fixed seed."""
     out = []
     for j in range(bins):
         order = list(range(bins))
@@ -53,16 +54,22 @@ def sketch(df: DataFrame, words: str, out: str, bin_bits: int = BIN_BITS, low_bi
     df = df.withColumn(place, F.transform(first, bin_of))
     at = lambda b: (F.array_position(place, b) - 1).cast("int")
     all_bins = F.sequence(F.lit(0), F.lit(bins - 1))
-    df = df.withColumn(dense, F.transform(all_bins, lambda b: F.get(first, at(b))))
-    donors = F.from_json(F.lit(str(donor_orders(bins))), "array<array<int>>")
+    # the size test also keeps the optimizer from computing the places anew inside the lambda: they are used twice
+    df = df.withColumn(dense, F.when(F.size(place) > 0, F.transform(all_bins, lambda b: F.get(first, at(b)))))
+    donors = F.from_json(F.lit(str([d[:TRIES] for d in donor_orders(bins)])), "array<array<int>>")
+
+    def nearest(b: Column) -> Column:
+        """The full bin that a hash with b puts first: always one, at a cost of one hash for each full bin."""
+        order = F.transform(place, lambda c, i: F.xxhash64(b, c).bitwiseAND(F.lit(-bins)).bitwiseOR(i.cast("long")))
+        return F.get(first, F.array_min(order).bitwiseAND(F.lit(bins - 1)).cast("int"))
 
     def borrowed(b: Column) -> Column:
-        tries = [F.get(dense, F.get(F.get(donors, b), F.lit(t))) for t in range(TRIES)]
-        rest = F.filter(F.transform(F.get(donors, b), lambda c: F.get(dense, c)), lambda v: v.isNotNull())
-        return F.coalesce(*tries, F.get(rest, F.lit(0)))
+        return F.coalesce(*[F.get(dense, F.get(F.get(donors, b), F.lit(t))) for t in range(TRIES)], nearest(b))
 
     low = lambda v: v.bitwiseAND(F.lit((1 << low_bits) - 1)).cast("short")
-    packed = F.transform(dense, lambda v, b: low(F.coalesce(v, borrowed(b))))
+    many = F.transform(dense, lambda v, b: low(F.coalesce(v, borrowed(b))))
+    few = F.transform(dense, lambda v, b: low(F.coalesce(v, nearest(b))))
+    packed = F.when(F.size(first) * 8 < bins, few).otherwise(many)
     return df.withColumn(out, F.when(F.size(h) > 0, packed)).drop(h, first, place, dense)
 
 
@@ -83,12 +90,13 @@ def packed_string(sketch_: Column, low_bits: int = LOW_BITS) -> Column:
     return F.coalesce(F.array_join(F.transform(sketch_, lambda v: F.lpad(F.lower(F.hex(v.cast("long"))), digits, "0")), ""), F.lit(""))
 
 
-def with_next(rows: DataFrame, carry: list[str], ranges: int = RANGES) -> DataFrame:
+def with_next(rows: DataFrame, carry: list[str], ranges: int = RANGES, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Adds ``next_<c>`` for each carried column: its value in the next row by ascending ``doc_id``, the last row's in the first.
 
-    rows: ``doc_id`` (integer), ``tie`` (orders equal ids) and the carried columns. Ids are cut into ranges at approximate
-    quantiles. Each range is also given a copy of the next one's first row, so that looking ahead never leaves it: rows are
-    shuffled once, and no task sees more than a range. Null ids come first. A lone row is its own next one.
+    rows: ``doc_id`` (integer), ``tie`` (orders equal ids) and what ``prepare`` makes the carried columns of, row by row. Ids
+    are cut into ranges at approximate quantiles. Each range is also given a copy of the next one's first row, so that looking
+    ahead never leaves it: rows are shuffled once, and no task sees more than a range. Null ids come first. A lone row is its
+    own next one.
     """
     slim = rows.select("doc_id", "tie")
     cuts = slim.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10_000)).head()[0]
@@ -99,8 +107,10 @@ def with_next(rows: DataFrame, carry: list[str], ranges: int = RANGES) -> DataFr
     ring = [(firsts[i - 1]["range"], r["f"]["doc_id"], r["f"]["tie"]) for i, r in enumerate(firsts)]
     heads = rows.sparkSession.createDataFrame(ring, "range int, head_id long, head_tie long")
     match = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie"))
-    copies = rows.join(F.broadcast(heads), match).dropDuplicates(["range"]).select("doc_id", "tie", *carry, "range", F.lit(1).alias("copy"))
-    both = rows.select("doc_id", "tie", *carry, place.alias("range"), F.lit(0).alias("copy")).unionByName(copies)
+    # so few rows are picked before anything is computed for them
+    picked = rows.join(F.broadcast(heads), match).drop("head_id", "head_tie").dropDuplicates(["range"])
+    copies = prepare(picked).select("doc_id", "tie", *carry, "range", F.lit(1).alias("copy"))
+    both = prepare(rows).select("doc_id", "tie", *carry, place.alias("range"), F.lit(0).alias("copy")).unionByName(copies)
     w = Window.partitionBy("range").orderBy("copy", F.asc_nulls_first("doc_id"), "tie")
     ahead = both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry])
     return ahead.where("copy = 0").drop("range", "copy", "tie")
@@ -113,9 +123,8 @@ def fingerprint_pairs(docs: DataFrame, bin_bits: int = BIN_BITS, low_bits: int =
     (all of them if it is shorter). A null text counts as empty and has a null sketch, as has any text without words.
     """
     d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    d = d.withColumn("words", words_of(F.col("text")))
-    d = sketch(d, "words", "sketch", bin_bits, low_bits).drop("words").withColumn("tie", F.xxhash64("text"))
-    d = with_next(d, ["text", "sketch"]).withColumn("n_chars", F.char_length("text").cast("long"))
+    sketched = lambda df: sketch(df.withColumn("words", words_of(F.col("text"))), "words", "sketch", bin_bits, low_bits).drop("words")
+    d = with_next(d.withColumn("tie", F.xxhash64("text")), ["text", "sketch"], prepare=sketched).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     kept = F.substr("text", F.lit(1), F.col("n_chars").cast("int") - half)
     d = d.withColumn("edited", F.concat(kept, F.substr("next_text", F.lit(1), half))).drop("next_text", "text")
