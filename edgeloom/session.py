@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,7 +42,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Seconds between two clean-ups at least.
+CLEAN_EVERY = 4.0
+_cleaned = 0.0
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffles and checkpoints that nothing refers to any more.
+
+    It does so when the driver collects its garbage, which a driver with memory to spare may not do for hours; loops that
+    write a checkpoint each round would fill the disks meanwhile.
+    """
+    global _cleaned
+    if time.monotonic() - _cleaned >= CLEAN_EVERY:
+        _cleaned = time.monotonic()
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def stable(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder: lineage is cut, and a lost executor costs nothing."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    release(df.sparkSession)
+    return out
