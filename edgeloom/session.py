@@ -47,14 +47,14 @@ CLEAN_EVERY = 4.0
 _cleaned = 0.0
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, at_once: bool = False) -> None:
     """Lets Spark delete shuffles and checkpoints that nothing refers to any more.
 
     It does so when the driver collects its garbage, which a driver with memory to spare may not do for hours; loops that
     write a checkpoint each round would fill the disks meanwhile.
     """
     global _cleaned
-    if time.monotonic() - _cleaned >= CLEAN_EVERY:
+    if at_once or time.monotonic() - _cleaned >= CLEAN_EVERY:
         _cleaned = time.monotonic()
         gc.collect()
         spark.sparkContext._jvm.System.gc()
