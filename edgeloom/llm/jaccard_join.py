@@ -10,7 +10,7 @@ Parts that are empty on both sides agree without saying anything and give no key
 link all of whose shared shingles fall into differing parts has a probability below 1e-12; see ``parts_of``.
 
 Equal sets are one class from the start (by 128 bits of hash). A key held by many classes, such as one from a passage that
-thousands of texts quote, never gives all pairs: every class is compared with the smallest class of the key; what is then
+thousands of texts quote, never gives all pairs: every class is compared with the smallest classes of its keys; what is then
 still in different components is compared within small groups, and in large ones only between classes that have too few
 other keys for the pigeonhole (``needy``), which is exact.
 """
@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.plans.components import connected_components
-from edgeloom.session import stable
+from edgeloom.session import release, stable
 
 SHINGLE = 5
 PERCENT = 80
 #: Classes of a key up to which pairs in different components are compared within its group.
-SMALL_GROUP = 64
+SMALL_GROUP = 16
 #: Ids sent as a broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 #: Characters hashed at once.
@@ -326,27 +326,31 @@ def linked_components(docs: DataFrame, percent: int = PERCENT, small_group: int
     rows = full.where("n > 0 and doc_id is not null")
     # one row for each class: its smallest id, size and sketch. Summed map-side, so a large group of copies is cheap.
     light = stable(rows.groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    keys = keyed(docs.where("doc_id is not null"), percent).repartition("key")
-    # keys of two classes or more; both uses read one shuffle
-    several = keys.groupBy("key").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo < hi")
-    members = stable(keys.join(several.select("key", "lo").hint("shuffle_hash"), "key").distinct())
-    stars = members.where("s <> lo").select(F.least("s", "lo").alias("a"), F.greatest("s", "lo").alias("b")).distinct()
-    links = stable(verified(stars, docs, light, percent))
-    found = connected_components(links.toDF("u", "v"), representative="min")
-    # what the stars left apart
-    at = members.select("key", "s").join(found.select(F.col("node").alias("s"), "component"), "s", "left")
-    at = stable(at.select("key", "s", F.coalesce("component", "s").alias("c")))
+    members = _members(docs, percent)
+    release(docs.sparkSession, at_once=True)  # the shuffle of all keys
+    pair = lambda x: (F.least("s", x).alias("a"), F.greatest("s", x).alias("b"))
+    # first every class with the smallest class that any of its keys names, then, for what is left apart, with all of these
+    first = stable(members.groupBy("s").agg(F.min("lo").alias("lo")).where("s <> lo").select(*pair("lo")).distinct())
+    links = stable(verified(first, docs, light, percent))
+    at = _in_components(members, links)
+    stars = at.where("s <> lo and c <> clo").select(*pair("lo")).distinct().join(first, ["a", "b"], "left_anti")
+    stars = stable(stars)
+    links = stable(links.unionByName(verified(stars, docs, light, percent)))
+    # what the stars left apart: all pairs in small groups; in large ones, classes outside the first one's component
+    # against all others, where both are needy
+    at = _in_components(members, links)
     groups = at.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    common = groups.where(F.col("size") > small_group).select("key")
-    apart = groups.where("c0 < c1").select("key", "size")
-    open_ = at.join(apart, "key")
-    needy = _needy(at.join(common, "key", "left_semi").groupBy("s").agg(F.count(F.lit(1)).alias("common")), light, percent)
-    few = open_.where(F.col("size") <= small_group).select("key", "s", "c")
-    many = open_.where(F.col("size") > small_group).join(needy, "s", "left_semi").select("key", "s", "c")
-    rest = stable(few.unionByName(many))
-    right = rest.select("key", F.col("s").alias("b"), F.col("c").alias("cb"))
-    left = rest.select("key", F.col("s").alias("a"), F.col("c").alias("ca"))
-    more = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    groups = stable(groups)
+    common = groups.where(F.col("size") > small_group)
+    few = at.join(groups.where((F.col("size") <= small_group) & (F.col("c0") < F.col("c1"))).select("key"), "key", "left_semi")
+    needy = stable(_needy(at.join(common.select("key"), "key", "left_semi").groupBy("s").agg(F.count(F.lit(1)).alias("common")), light, percent))
+    many = at.join(common.where("c0 < c1").select("key"), "key", "left_semi")
+    outside = stable(many.where("c <> clo").join(needy, "s", "left_semi").select("key", "s", "c"))
+    many = many.join(outside.select("key").distinct(), "key", "left_semi").join(needy, "s", "left_semi")
+    side = lambda df, p: df.select("key", F.col("s").alias(p), F.col("c").alias(f"c{p}"))
+    within = side(few, "a").join(side(few, "b"), "key").where("a < b and ca <> cb").select("a", "b")
+    across = side(outside, "s").join(side(many, "x"), "key").where("s <> x and cs <> cx").select(*pair("x"))
+    more = within.unionByName(across).distinct().join(first, ["a", "b"], "left_anti").join(stars, ["a", "b"], "left_anti")
     links = links.unionByName(stable(verified(more, docs, light, percent)))
     # classes to ids: copies hang on their class's smallest id
     name = light.select("s", F.col("doc_id").alias("id"))
@@ -358,6 +362,22 @@ def linked_components(docs: DataFrame, percent: int = PERCENT, small_group: int
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _members(docs: DataFrame, percent: int) -> DataFrame:
+    """``key, s, lo``: the classes of every key that two or more hold, and the smallest of them."""
+    keys = keyed(docs.where("doc_id is not null"), percent).repartition("key")
+    # both uses of the keys read one shuffle
+    several = keys.groupBy("key").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo < hi")
+    return stable(keys.join(several.select("key", "lo").hint("shuffle_hash"), "key").distinct())
+
+
+def _in_components(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members with the component of their class (``c``) and of their key's smallest class (``clo``)."""
+    found = stable(connected_components(links.toDF("u", "v"), representative="min"))
+    at = members.join(found.select(F.col("node").alias("s"), F.col("component").alias("c")), "s", "left")
+    at = at.join(found.select(F.col("node").alias("lo"), F.col("component").alias("clo")), "lo", "left")
+    return stable(at.select("key", "s", "lo", F.coalesce("c", "s").alias("c"), F.coalesce("clo", "lo").alias("clo")))
+
+
 def _needy(commons: DataFrame, light: DataFrame, percent: int) -> DataFrame:
     """Classes that keep too few keys for the pigeonhole once their common keys are left out.
 
