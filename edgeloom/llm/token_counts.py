@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.session import stable
+from edgeloom.session import release, stable
 
 BLANK = "▁"
 PRE_TOKEN = re.compile(f"\n|[ {BLANK}]+[^ {BLANK}\n]*|[^ {BLANK}\n]+")
 #: Pre-tokens of the broadcast table: some 20 bytes each on the wire.
-FREQUENT = 500_000
+FREQUENT = 1_000_000
 #: A task hands on its counts beyond so many distinct pre-tokens.
 FLUSH = 300_000
 
@@ -99,6 +99,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, frequent: int =
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row. A null text is empty and has no tokens; ids are only carried."""
     spark = docs.sparkSession
     table = stable(vocabulary(docs, model))
+    release(spark, at_once=True)  # the shuffle of the partial counts
     top = table.orderBy(F.desc("freq"), "token").limit(frequent).select("token", "pieces").toArrow()
     known = spark.sparkContext.broadcast((top["token"].to_pylist(), top["pieces"].to_pylist()))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("key"))
