@@ -25,8 +25,9 @@ CAPACITY = 2048
 GRAIN = 8
 #: Documents of a pattern at most.
 PATTERN_DOCS = 3
-#: Share of the fitted repeats that is planned; the rest stays with the residuals, whose short pieces fill the patterns' slack.
-SHARE = 0.75
+#: Shares of the fitted repeats that are planned; the rest stays with the residuals, whose short pieces fill the patterns' slack.
+#: Each is tried on the histogram, and the plan with the fewest sequences is taken.
+SHARES = (0.75, 0.5, 0.25)
 #: Ways each length is split for ranking, so that a frequent length is no single task.
 SALTS = 64
 
@@ -107,7 +108,7 @@ def patterns(present: list[int], capacity: int, most: int) -> list[tuple[int, ..
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN, most: int = PATTERN_DOCS, share: float = SHARE) -> tuple[dict[int, list[tuple[int, int, int]]], int]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN, most: int = PATTERN_DOCS, share: float = SHARES[0]) -> tuple[dict[int, list[tuple[int, int, int]]], int]:
     """Runs ``(count, first sequence, offset)`` of each length's places in order of rank, and the number of sequences.
 
     The nth piece of a length takes the nth place of its runs. All pieces of the histogram get exactly one place.
@@ -196,13 +197,18 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN
     return dict(runs), used
 
 
+def best_plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN, most: int = PATTERN_DOCS) -> tuple[dict[int, list[tuple[int, int, int]]], int]:
+    """The plan with the fewest sequences among the planned ``SHARES``."""
+    return min((plan(histogram, capacity, grain, most, share) for share in SHARES), key=lambda p: p[1])
+
+
 def place(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, most: int = PATTERN_DOCS) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces with a ``length`` from 1 to ``capacity``.
 
     Reads ``pieces`` twice: hand it a checkpointed table. Offsets are gapless from 0 within a sequence.
     """
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").agg(F.count(F.lit(1))).collect()}  # capacity rows at most
-    runs, _ = plan(histogram, capacity, grain, most)
+    runs, _ = best_plan(histogram, capacity, grain, most)
     table = {}
     for n, rs in runs.items():
         counts = np.array([r[0] for r in rs], np.int64)
