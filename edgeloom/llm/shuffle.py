@@ -14,18 +14,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm.tokens import word_tokenizer
-from edgeloom.session import ensure_checkpoint_dir, stable
+from edgeloom.session import ensure_checkpoint_dir, release, stable
 
 #: Ids of a record, two bytes each.
 RECORD_IDS = 256
 #: Records of a shard: 32 MB.
 SHARD_RECORDS = 65_536
 ROUNDS = 6
-BUCKETS = 4096
+#: Buckets in which documents are numbered; the driver keeps one start for each.
+BUCKETS = 65_536
+#: Records that are dealt to shards at once: 16 MB.
+PARCEL_RECORDS = 32_768
+#: Tasks that write shards at most, each one shard after the other.
+WRITERS = 32_768
 
 
 def _mix(x: np.ndarray, key: np.uint64) -> np.ndarray:
@@ -91,19 +96,20 @@ def records(docs: DataFrame, tokenizer: str, record_ids: int = RECORD_IDS, end_i
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, tie long, pieces long, ids binary")
 
 
-def numbered(recs: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, int]:
-    """Adds ``first``, the number of a document's first record, and returns the number of all records.
+def numbered(recs: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, dict[int, int], int]:
+    """The records by bucket and in order within it, the number of each bucket's first record, and the number of all records.
 
-    Documents are dealt to buckets by id; buckets' starts come from a prefix sum over one row a bucket, and documents are
-    numbered within their bucket by id. So numbers depend on the rows alone, not on how they were partitioned.
+    Documents are dealt to buckets by hash; buckets' starts come from a prefix sum over one row a bucket, and documents are
+    numbered within their bucket by id. So numbers depend on the rows alone, not on how they were partitioned. A partition of
+    the result holds whole buckets, one after the other.
     """
     d = recs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(buckets)))
-    sums = d.groupBy("bucket").agg(F.sum("pieces").alias("n"))
-    starts = sums.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("start"), "n")
-    total = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
-    w = Window.partitionBy("bucket").orderBy("doc_id", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    slim = d.select("doc_id", "tie", "pieces", "bucket", "ids").withColumn("before", F.sum("pieces").over(w) - F.col("pieces"))
-    return slim.join(F.broadcast(starts.select("bucket", "start")), "bucket").withColumn("first", F.col("start") + F.col("before")).select("doc_id", "pieces", "first", "ids"), total
+    d = stable(d.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "tie").select("bucket", "doc_id", "pieces", "ids"))
+    release(d.sparkSession, at_once=True)
+    starts, total = {}, 0
+    for bucket, n in sorted(tuple(r) for r in d.groupBy("bucket").agg(F.sum("pieces")).collect()):
+        starts[bucket], total = total, total + n
+    return d, starts, total
 
 
 def materialize(docs: DataFrame, tokenizer: str, path: str, seed: int = 0, record_ids: int = RECORD_IDS, shard_records: int = SHARD_RECORDS) -> DataFrame:
@@ -112,56 +118,85 @@ def materialize(docs: DataFrame, tokenizer: str, path: str, seed: int = 0, recor
     Record ``slot`` of the training order is in file ``shard-<slot // shard_records>.bin`` at byte
     ``position = (slot % shard_records) * 2 * record_ids``. Every document has at least one record, an empty or null text one
     with end ids only. No rows write no shards. Files appear under their names only when whole; a repeated task replaces a
-    file by the same bytes.
+    file by the same bytes. A task holds one shard at a time.
     """
-    recs = stable(records(docs, tokenizer, record_ids))
-    placed, total = numbered(recs)
+    placed, starts, total = numbered(records(docs, tokenizer, record_ids))
     stride, permutation = 2 * record_ids, Feistel(max(1, total), seed)
     shards = max(1, -(-total // shard_records))
 
+    def parcels(doc: list, pieces: list, first: list, ids: list[bytes]) -> pa.RecordBatch:
+        """One row for each shard that these documents' records go to."""
+        k = np.array(pieces, np.int64)
+        of = np.repeat(np.arange(len(k)), k)
+        piece = np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k)
+        number = np.array(first, np.int64)[of] + piece
+        shard = permutation.slots(number) // shard_records
+        order = np.argsort(shard, kind="stable")
+        data = np.frombuffer(b"".join(map(zlib.decompress, ids)), f"V{stride}")[order]
+        cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
+        ends = pa.array(cuts, pa.int32())
+        listed = lambda x: pa.ListArray.from_arrays(ends, x)
+        blobs = [zlib.compress(data[i:j].tobytes(), 1) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(shard[order][cuts[:-1]]), listed(pa.array(doc, pa.int64()).take(pa.array(of[order]))), listed(pa.array(piece[order], pa.int32())), listed(pa.array(number[order])), pa.array(blobs, pa.binary())],
+            names=["shard", "doc_id", "piece", "number", "ids"],
+        )
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, following, waiting = None, 0, 0
+        doc, pieces, first, ids = [], [], [], []
         for b in batches:
-            doc, pieces, first = (b.column(i).to_pylist() for i in range(3))
-            out: list[list] = [[], [], [], []]
-            for d, k, f, z in zip(doc, pieces, first, b.column(3).to_pylist(), strict=True):
-                data = zlib.decompress(z)
-                out[0] += [d] * k
-                out[1] += range(k)
-                out[2] += range(f, f + k)
-                out[3] += [zlib.compress(data[i * stride : (i + 1) * stride], 1) for i in range(k)]
-            slots = permutation.slots(np.array(out[2], np.int64)) if out[2] else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(slots), pa.array(slots // shard_records), pa.array(out[3], pa.binary())],
-                names=["doc_id", "piece", "number", "slot", "shard", "ids"],
-            )
+            for bucket, d, k, z in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if bucket != at:
+                    at, following = bucket, starts[bucket]
+                doc.append(d), pieces.append(k), first.append(following), ids.append(z)
+                following, waiting = following + k, waiting + k
+                if waiting >= PARCEL_RECORDS:
+                    yield parcels(doc, pieces, first, ids)
+                    waiting, doc, pieces, first, ids = 0, [], [], [], []
+        if doc:
+            yield parcels(doc, pieces, first, ids)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _store(path)
         store.create_dir(base, recursive=True)
-        out, at, temporary = None, None, ""
-
-        def finish() -> None:
-            if out is not None:
-                out.close()
-                store.move(temporary, f"{base}/shard-{at:08d}.bin")
 
-        for b in batches:
-            crc, shard = [], b.column(4).to_pylist()
-            for s, z in zip(shard, b.column(5).to_pylist(), strict=True):
-                if s != at:
-                    finish()
-                    at, temporary = s, f"{base}/_{s:08d}-{uuid.uuid4().hex}"
-                    out = store.open_output_stream(temporary)
-                data = zlib.decompress(z)
+        def finish(shard: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(rows)
+            doc, piece, number = (pa.concat_arrays([c.flatten() for c in table.column(i).chunks]) for i in (1, 2, 3))
+            order = np.argsort(permutation.slots(number.to_numpy()))
+            data = np.frombuffer(b"".join(zlib.decompress(z.as_py()) for z in table.column(4)), f"V{stride}")[order].tobytes()
+            temporary = f"{base}/_{shard:08d}-{uuid.uuid4().hex}"
+            with store.open_output_stream(temporary) as out:
                 out.write(data)
-                crc.append(zlib.crc32(data))
-            position = np.asarray(b.column(3)) % shard_records * stride
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(position), pa.array(crc, pa.int64())], names=["doc_id", "piece", "number", "slot", "shard", "position", "crc32"])
-        finish()
-
-    dealt = placed.mapInArrow(deal, "doc_id long, piece int, number long, slot long, shard long, ids binary")
-    ordered = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "slot")
-    return stable(ordered.mapInArrow(write, "doc_id long, piece int, number long, slot long, shard long, position long, crc32 long"))
+            store.move(temporary, f"{base}/shard-{shard:08d}.bin")
+            view = memoryview(data)
+            crc = pa.array([zlib.crc32(view[i : i + stride]) for i in range(0, len(data), stride)], pa.int64())
+            ends, order = pa.array([0, len(crc)], pa.int32()), pa.array(order)
+            listed = [pa.ListArray.from_arrays(ends, x) for x in (doc.take(order), piece.take(order), number.take(order), crc)]
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *listed], names=["shard", "doc_id", "piece", "number", "crc32"])
+
+        at, rows = None, []
+        for b in batches:
+            shard = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i < j:
+                    if at is not None and shard[i] != at:
+                        yield finish(at, rows)
+                        rows = []
+                    at = int(shard[i])
+                    rows.append(b.slice(i, j - i))
+        if rows:
+            yield finish(at, rows)
+
+    dealt = placed.mapInArrow(deal, "shard long, doc_id array<long>, piece array<int>, number array<long>, ids binary")
+    ordered = dealt.repartition(min(shards, WRITERS), "shard").sortWithinPartitions("shard")
+    index = stable(ordered.mapInArrow(write, "shard long, doc_id array<long>, piece array<int>, number array<long>, crc32 array<long>"))
+    # a shard's rows are in the order of their slots
+    rows = index.select("shard", F.posexplode(F.arrays_zip("doc_id", "piece", "number", "crc32")).alias("i", "r"))
+    slot = F.col("shard") * shard_records + F.col("i")
+    return rows.select("r.doc_id", "r.piece", "r.number", slot.alias("slot"), "shard", (F.col("i").cast("long") * stride).alias("position"), "r.crc32")
 
 
 def read_records(path: str, start: int, count: int, total: int, record_ids: int = RECORD_IDS, shard_records: int = SHARD_RECORDS) -> Iterator[np.ndarray]:
