@@ -62,7 +62,7 @@ def op7_training_order(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return substrings.repeated_spans(_table(spark, sf, "documents"))
+    return substrings.repeated_spans(_table(spark, sf, "documents"), runs=True)
 
 
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:

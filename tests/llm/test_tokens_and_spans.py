@@ -59,6 +59,25 @@ def test_spans_against_brute_force(spark):
     assert substrings.repeated_spans(empty(spark)).count() == 0
 
 
+def test_runs_of_short_sentences(spark):
+    """Short sentences inside a repeated passage are found with their neighbours, those that recur alone are not."""
+    long = "This sentence has quite a few more than eight words in it."
+    passage = f"Short one. {long} Yes it is. Two of them here. And a third. Done."
+    data = [(1, f"Own words. {passage} Other."), (2, f"Something else stands here. {passage} Unlike."), (3, "Yes it is. A new beginning here. Nothing more. Done. What else is there?")]
+    docs = spark.createDataFrame([(d, t, None, None, 0) for d, t in data], SCHEMA)
+    texts, covered = dict(data), {d: set() for d, _ in data}
+    for d, a, b, n, kept, at in rows(substrings.repeated_spans(docs, runs=True)):
+        assert substrings.normalize(texts[kept][at:]).startswith(substrings.normalize(texts[d][a:b])) and n >= 8
+        covered[d] |= set(range(a, b))
+    a = texts[2].index(passage)
+    assert not covered[1] and not covered[3] and covered[2] == set(range(a, a + len(passage)))
+    plain = rows(substrings.repeated_spans(docs), "doc_id")
+    assert plain == [(2,)]
+    same = spark.createDataFrame([(1, "Ha. " * 20, None, None, 0)], SCHEMA)
+    left = rows(substrings.remove_spans(same, substrings.repeated_spans(same, runs=True)), "text")[0][0]
+    assert left.split() == ["Ha."] * 8
+
+
 def test_feistel():
     for n in (1, 2, 3, 10, 257, 5000):
         f = shuffle.Feistel(n, 9)
