@@ -10,6 +10,7 @@ dealt by DataFrame functions only; the driver sees one row for each source.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -77,16 +78,20 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 0, shards: int = SHARDS, most: int = MAX_REPEATS) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken, draws`` for every document.
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 0, shards: int = SHARDS, most: int = MAX_REPEATS, carry: Sequence[Column] = ()) -> DataFrame:
+    """``doc_id, source, size, source_size, target, taken, draws`` for every document, and the named columns of ``carry``.
 
     size: words. draws: ``(shard, epoch, position)`` of each time the document is drawn; shards are read in ascending
     position. taken: ``size`` times the draws. Null texts have size 0, a null source is a source of its own, in order after all
-    others. Documents without words are drawn in whole passes and where their place falls. Repeated rows are drawn separately.
+    others. Documents without words are drawn in whole passes and where their place falls. Repeated rows are drawn separately. Rows without an id are placed by
+    their texts.
     """
     skey = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
-    d = docs.select("doc_id", F.col("source").cast("string").alias("source"), skey.alias("skey"), F.size(words_of(F.col("text").cast("string"))).cast("long").alias("size"))
-    d = stable(d.withColumn("pkey", permutation_key(seed, F.col("doc_id"))))
+    # rows without an id would all share one place, and with it one block
+    pkey = F.when(F.col("doc_id").isNull(), permutation_key(seed, F.lit(None), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))).otherwise(permutation_key(seed, F.col("doc_id")))
+    d = docs.select("doc_id", F.col("source").cast("string").alias("source"), skey.alias("skey"), F.size(words_of(F.col("text").cast("string"))).cast("long").alias("size"), pkey.alias("pkey"), *carry)
+    names = d.columns[5:]
+    d = stable(d)
     sums = d.groupBy("skey").agg(F.sum("size").alias("source_size"))
     goal = stable(targets(sums, weights, most))
     blocks_of = F.greatest(F.lit(MIN_BLOCKS), F.ceil(F.col("source_size") / BLOCK_WORDS)).cast("long")
@@ -119,22 +124,30 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 0, sh
     units = units.withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("r"))))
     per = units.groupBy("skey", "block").agg(F.array_sort(F.collect_list(F.struct("epoch", "shard"))).alias("units"))
     per = per_block.join(per, ["skey", "block"], "left").select("skey", "block", "whole", "rest", "begins", "part", "units")
-    d = d.select("doc_id", "source", "skey", "size", "pkey", "source_size", "target", "block").join(per, ["skey", "block"])
+    d = d.select("doc_id", "source", "skey", "size", "pkey", "source_size", "target", "block", *names).join(per, ["skey", "block"])
     # inside the last block, documents in permuted order as long as they bring the source nearer to its target
-    local = F.sum("size").over(Window.partitionBy("skey", "block").orderBy("pkey", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = F.sum("size").over(Window.partitionBy("skey", "block").orderBy("pkey", "doc_id", "size", *names).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     inside = F.col("begins") + local - F.col("size") / 2 <= F.col("rest")
     units_ = F.when(F.col("part") & ~inside, F.filter("units", lambda u: u["epoch"] < F.col("whole"))).otherwise(F.col("units"))
     d = d.withColumn("units", F.coalesce(units_, F.array().cast("array<struct<epoch:int,shard:int>>")))
     position = lambda u: F.xxhash64(F.lit(seed), u["shard"], u["epoch"], F.col("pkey"))
     draws = F.transform("units", lambda u: F.struct(u["shard"].alias("shard"), u["epoch"].alias("epoch"), position(u).alias("position")))
-    return d.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.size("units")).alias("taken"), draws.alias("draws"))
+    return d.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.size("units")).alias("taken"), draws.alias("draws"), *names)
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 0) -> DataFrame:
-    """The mix itself: every document's row as often as it is drawn, columns as they were. Undrawn documents go."""
-    drawn = mix(docs, weights, seed).select("doc_id", F.size("draws").alias("__n")).where("__n > 0")
-    drawn = drawn.groupBy("doc_id").agg(F.max("__n").alias("__n"))
-    joined = docs.join(drawn, "doc_id")
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__i")).drop("__i")
-
+    """The mix itself: every row as often as it is drawn, columns as they were. Undrawn rows go.
 
+    Rows are told apart by 128 bits of hash over all their columns, so rows without an id are drawn like others, and rows that
+    share an id each by their own draws. Rows equal in all columns stand for one another: together they come as often as all
+    of them were drawn.
+    """
+    columns = docs.columns
+    keys = F.xxhash64(*columns).alias("__h1"), F.xxhash64(F.lit(0x5BD1E995), *columns).alias("__h2")
+    drawn = mix(docs, weights, seed, carry=keys).groupBy("__h1", "__h2")
+    drawn = drawn.agg(F.sum(F.size("draws")).cast("int").alias("__n"), F.count(F.lit(1)).alias("__rows")).where("__n > 0")
+    joined = docs.select("*", *keys).join(drawn, ["__h1", "__h2"])
+    # of equal rows one is repeated for all
+    equal = joined.where("__rows > 1").dropDuplicates(["__h1", "__h2"])
+    joined = joined.where("__rows = 1").unionByName(equal)
+    return joined.select(*columns, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__i")).drop("__i")

@@ -77,3 +77,22 @@ def test_mixed_documents(spark):
     for (d,) in rows(out, "doc_id"):
         got[d] = got.get(d, 0) + 1
     assert got == {d: n for d, n in taken.items() if n} and out.columns == docs.columns
+
+
+def test_mixed_documents_by_row(spark):
+    """Rows without an id stay in the mix; rows that share an id come as often as each was drawn; equal rows too."""
+    text = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    data = [(None if i % 2 else i, text(i, 5 + i % 40), None, "a" if i % 3 else "b", i) for i in range(300)]
+    data += [(7000, text(900 + i, 30 + i), None, ("a", "b", "c")[i % 3], i) for i in range(30)]
+    data += [(None, "same text", None, "b", 1)] * 5 + [(8000, "same row", None, "b", 1)] * 4
+    docs = spark.createDataFrame(data, SCHEMA)
+    want, draws = {}, {}
+    for t, x in rows(mixing.mix(docs, carry=["text"]), "text", "draws"):
+        want[t] = want.get(t, 0) + len(x)
+        draws.setdefault(t, []).append(len(x))
+    got = {}
+    for (t,) in rows(mixing.mixed_documents(docs), "text"):
+        got[t] = got.get(t, 0) + 1
+    assert got == {t: n for t, n in want.items() if n}
+    shared = {draws[text(900 + i, 30 + i)][0] for i in range(30)}
+    assert len(shared) > 1 and any(r[0] is None for r in rows(mixing.mixed_documents(docs), "doc_id"))
