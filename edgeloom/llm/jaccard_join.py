@@ -6,13 +6,17 @@ size of their symmetric difference. For sets of n and m shingles that link, this
 ``(n + m) * (100 - s) / (100 + s)``; with more parts than that, at least one part agrees (pigeonhole), and that part's XOR is
 the join key. Sizes are cut into overlapping bands, so that partners share a band and with it the number of parts.
 
+With d differing parts at most, two linked sets of f and g keys have all but d in common. Of any one order of all keys, the
+last ``d + 1`` of both then hold one that they share. Keys are ordered by how many classes hold them, and every class is
+indexed under its ``d + 1`` rarest only: a passage that thousands of texts quote is no key where enough else is in the text.
+
 Parts that are empty on both sides agree without saying anything and give no key. The number of parts is chosen so that a
 link all of whose shared shingles fall into differing parts has a probability below 1e-12; see ``parts_of``.
 
-Equal sets are one class from the start (by 128 bits of hash). A key held by many classes, such as one from a passage that
-thousands of texts quote, never gives all pairs: every class is compared with the smallest classes of its keys; what is then
-still in different components is compared within small groups, and in large ones only between classes that have too few
-other keys for the pigeonhole (``needy``), which is exact.
+Equal sets are one class from the start (by 63 bits of hash). Every class is compared with the centre of each of its keys
+first: the class with the fewest keys of its own, which in a cluster of near copies is close to all of them. What is then
+still in different components is compared within small groups by a join; in large ones by blocks of sketches, from which
+only pairs that may link come out.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.plans.components import connected_components
@@ -34,10 +38,14 @@ SHINGLE = 5
 PERCENT = 80
 #: Classes of a key up to which pairs in different components are compared within its group.
 SMALL_GROUP = 16
+#: Classes of a large key whose sketches a task holds at once, on either side.
+GROUP_BLOCK = 8192
+#: Words of sketches compared at once.
+COMPARE_WORDS = 1 << 20
 #: Ids sent as a broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 #: Characters hashed at once.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -143,22 +151,21 @@ def parts_of(b: int, percent: int = PERCENT) -> tuple[int, int]:
     return math.ceil(max(1.15 * d + 2, d * math.exp(27.7 / shared))), d
 
 
-def set_digests(owner: np.ndarray, h: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes and two 64-bit digests of the sets (0, 0, 0 for empty ones)."""
+def set_digests(owner: np.ndarray, h: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and 63-bit digests of the sets, as even numbers (0, 0 for empty ones)."""
     n = np.bincount(owner, minlength=texts)
-    a, b = np.zeros(texts, np.uint64), np.zeros(texts, np.uint64)
+    a = np.zeros(texts, np.uint64)
     some = np.flatnonzero(n)
     if len(some):
         at = (np.cumsum(n) - n)[some]
         with np.errstate(over="ignore"):
-            a[some] = mix(np.add.reduceat(mix(h, 101), at), 7) ^ n[some].astype(np.uint64)
-            b[some] = mix(np.add.reduceat(mix(h, 202), at), 8)
-    return n, a, b
+            a[some] = mix(mix(np.add.reduceat(mix(h, 101), at), 7) ^ n[some].astype(np.uint64), 8) & ~np.uint64(1)
+    return n, a
 
 
 def bit_sketch(h: np.ndarray) -> bytes:
-    """Parity sketch of about one bit a shingle: each flips the bit its hash names. Sets of one band get equally many bits."""
-    bits = 64 << max(0, (len(h) // 64).bit_length())
+    """Parity sketch of two to four bits a shingle: each flips the bit its hash names."""
+    bits = 128 << max(0, (len(h) // 64).bit_length())
     flips = np.bincount((mix(h, 303) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits(flips & 1).tobytes()
 
@@ -176,46 +183,57 @@ def sketch_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum())
 
 
-def part_keys(owner: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of all sets in both their bands: ``(owner, key)``, and ``(owner, band, non-empty parts)`` of each set and band."""
-    outs, keys, counts = [], [], []
-    some = np.flatnonzero(sizes)
-    unique, back = np.unique(sizes[some], return_inverse=True)
-    own_band = np.full(len(sizes), -1)
-    if len(some):
-        own_band[some] = np.array([band_of(int(n), percent) for n in unique])[back]
-    scattered = mix(h, 404)
-    for shift in (0, 1):
-        band = own_band - shift
-        use = np.flatnonzero(band >= 0)
-        k = np.zeros(len(sizes), np.int64)
-        if len(use):
-            bands, inv = np.unique(band[use], return_inverse=True)
-            k[use] = np.array([parts_of(int(b), percent)[0] for b in bands])[inv]
+def _parts(owner: np.ndarray, h: np.ndarray, sizes: np.ndarray, lower: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each set's band (the one below its own if ``lower``), parts and differing parts at most; and the part of each hash.
+
+    The last item names the places of the hashes that have a part: sets in the lowest band have none below.
+    """
+    band, k, d = np.full(len(sizes), -1), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    for n in np.unique(sizes[sizes > 0]):
+        at = sizes == n
+        band[at] = band_of(int(n), percent) - lower
+    for b in np.unique(band[band >= 0]):
+        k[band == b], d[band == b] = parts_of(int(b), percent)
+    at = np.flatnonzero(k[owner] > 0)
+    o = owner[at]
+    part = ((mix(h[at], 404) >> np.uint64(32)) * k[o].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    return band, k, d, part, at
+
+
+def part_counts(owner: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """``(keys, spare keys)`` of each set, for its own band and the one below: ``2 x sets`` each. All but ``d + 1`` are spare."""
+    filled, spare = np.zeros((2, len(sizes)), np.int64), np.zeros((2, len(sizes)), np.int64)
+    for lower in (0, 1):
+        _, k, d, part, at = _parts(owner, h, sizes, lower, percent)
         base = np.cumsum(k) - k
-        mine = np.flatnonzero(k[owner] > 0)
-        o = owner[mine]
-        part = ((scattered[mine] >> np.uint64(32)) * k[o].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        cell = base[o] + part
+        used = np.zeros(int(k.sum()) + 1, np.int64)
+        used[base[owner[at]] + part] = 1
+        before = np.concatenate([[0], np.cumsum(used)])
+        filled[lower] = before[base + k] - before[base]
+        spare[lower] = np.maximum(0, filled[lower] - d - 1)
+    return filled, spare
+
+
+def part_keys(owner: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all sets in both their bands: ``(owner, 1 in the band below the own, key)``."""
+    outs, lows, keys = [], [], []
+    for lower in (0, 1):
+        band, k, _, part, at = _parts(owner, h, sizes, lower, percent)
+        base = np.cumsum(k) - k
+        cell = base[owner[at]] + part
         order = np.argsort(cell, kind="stable")
-        cell, value = cell[order], h[mine][order]
-        if not len(cell):
+        if not len(order):
             continue
+        cell, value, who = cell[order], h[at][order], owner[at][order]
         first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        xored = np.bitwise_xor.reduceat(value, first)
-        who = o[order][first]
+        who = who[first]
         where = (cell[first] - base[who]).astype(np.uint64)
         with np.errstate(over="ignore"):
-            key = mix(xored ^ mix(where + (band[who].astype(np.uint64) << np.uint64(40)), 505))
-        outs.append(who), keys.append(key)
-        filled = np.bincount(who, minlength=len(sizes))
-        at = np.flatnonzero(filled)
-        counts.append(np.stack([at, band[at], filled[at]]))
+            keys.append(mix(np.bitwise_xor.reduceat(value, first) ^ mix(where + (band[who].astype(np.uint64) << np.uint64(40)), 505)))
+        outs.append(who), lows.append(np.full(len(who), lower))
     if not outs:
-        none = np.empty(0, np.int64)
-        return none, np.empty(0, np.uint64), none, none, none
-    three = np.concatenate(counts, axis=1)
-    return np.concatenate(outs), np.concatenate(keys), three[0], three[1], three[2]
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    return np.concatenate(outs), np.concatenate(lows), np.concatenate(keys)
 
 
 def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
@@ -231,31 +249,36 @@ def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[byte
 
 
 def describe(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n, s, s2, sketch``: set size, 128-bit set digest (s names the class) and bit sketch of every row."""
+    """``doc_id, n, s, keys, spare, spare_low, sketch`` of every row: set size, class, keys in both bands, and the bit sketch.
+
+    spare, spare_low: keys of the own band and of the one below that its index can do without.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in _blocks(batch, 1):
                 owner, h = shingle_sets(texts)
-                n, s, s2 = set_digests(owner, h, len(texts))
+                n, s = set_digests(owner, h, len(texts))
+                filled, spare = part_counts(owner, h, n, percent)
                 ends = np.cumsum(n)
                 sketches = [bit_sketch(h[e - c : e]) if c else b"" for e, c in zip(ends.tolist(), n.tolist(), strict=True)]
-                arrays = [batch.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(s.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(sketches, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "s", "s2", "sketch"])
+                counts = [pa.array(x, pa.int64()) for x in (n, s.view(np.int64), filled.sum(axis=0), *spare)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *counts, pa.array(sketches, pa.binary())], names=["doc_id", "n", "s", "keys", "spare", "spare_low", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, s long, s2 long, sketch binary")
+    of = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return of.mapInArrow(run, "doc_id long, n long, s long, keys long, spare long, spare_low long, sketch binary")
 
 
 def keyed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``key, s``: the join keys of every non-empty text under its class."""
+    """``key, s``: the join keys of every non-empty text under its class; s is odd for keys of the band below the class's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in _blocks(batch, 0):
                 owner, h = shingle_sets(texts)
-                n, s, _ = set_digests(owner, h, len(texts))
-                who, key, *_ = part_keys(owner, h, n, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(s[who].view(np.int64))], names=["key", "s"])
+                n, s = set_digests(owner, h, len(texts))
+                who, lower, key = part_keys(owner, h, n, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(s[who].view(np.int64) | lower)], names=["key", "s"])
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, s long")
 
@@ -308,7 +331,7 @@ def describe_sets(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for _, texts in _blocks(batch, 1):
                 owner, h = shingle_sets(texts)
-                n, s, _ = set_digests(owner, h, len(texts))
+                n, s = set_digests(owner, h, len(texts))
                 ends = np.cumsum(n)
                 packed = [h[e - c : e].tobytes() for e, c in zip(ends.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(packed, pa.binary())], names=["s", "h"])
@@ -316,7 +339,7 @@ def describe_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "s long, h binary")
 
 
-def linked_components(docs: DataFrame, percent: int = PERCENT, small_group: int = SMALL_GROUP) -> DataFrame:
+def linked_components(docs: DataFrame, percent: int = PERCENT, small_group: int = SMALL_GROUP, group_block: int = GROUP_BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row: component_id is the smallest id reachable by links.
 
     Empty sets link with nothing, equal sets always. A row without an id links nothing together and has no component id.
@@ -325,33 +348,29 @@ def linked_components(docs: DataFrame, percent: int = PERCENT, small_group: int
     full = stable(describe(docs, percent))
     rows = full.where("n > 0 and doc_id is not null")
     # one row for each class: its smallest id, size and sketch. Summed map-side, so a large group of copies is cheap.
-    light = stable(rows.groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    members = _members(docs, percent)
+    light = rows.groupBy("s").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "keys", "spare", "spare_low", "sketch")])
+    light = stable(light)
+    members = _index(_shared_keys(docs, percent), light)
     release(docs.sparkSession, at_once=True)  # the shuffle of all keys
     pair = lambda x: (F.least("s", x).alias("a"), F.greatest("s", x).alias("b"))
-    # first every class with the smallest class that any of its keys names, then, for what is left apart, with all of these
-    first = stable(members.groupBy("s").agg(F.min("lo").alias("lo")).where("s <> lo").select(*pair("lo")).distinct())
+    # first every class with the best of its keys' centres, then, for what is left apart, with all of these
+    nearest = members.groupBy("s").agg(F.min("centre").alias("centre")).select("s", F.col("centre.s").alias("lo"))
+    first = stable(nearest.where("s <> lo").select(*pair("lo")).distinct())
+    members = members.select("key", "s", "size", F.col("centre.s").alias("lo"))
     links = stable(verified(first, docs, light, percent))
     at = _in_components(members, links)
     stars = at.where("s <> lo and c <> clo").select(*pair("lo")).distinct().join(first, ["a", "b"], "left_anti")
     stars = stable(stars)
     links = stable(links.unionByName(verified(stars, docs, light, percent)))
-    # what the stars left apart: all pairs in small groups; in large ones, classes outside the first one's component
-    # against all others, where both are needy
+    # what the stars left apart
     at = _in_components(members, links)
-    groups = at.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    groups = stable(groups)
-    common = groups.where(F.col("size") > small_group)
-    few = at.join(groups.where((F.col("size") <= small_group) & (F.col("c0") < F.col("c1"))).select("key"), "key", "left_semi")
-    needy = stable(_needy(at.join(common.select("key"), "key", "left_semi").groupBy("s").agg(F.count(F.lit(1)).alias("common")), light, percent))
-    many = at.join(common.where("c0 < c1").select("key"), "key", "left_semi")
-    outside = stable(many.where("c <> clo").join(needy, "s", "left_semi").select("key", "s", "c"))
-    many = many.join(outside.select("key").distinct(), "key", "left_semi").join(needy, "s", "left_semi")
-    side = lambda df, p: df.select("key", F.col("s").alias(p), F.col("c").alias(f"c{p}"))
-    within = side(few, "a").join(side(few, "b"), "key").where("a < b and ca <> cb").select("a", "b")
-    across = side(outside, "s").join(side(many, "x"), "key").where("s <> x and cs <> cx").select(*pair("x"))
+    apart = at.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
+    apart = stable(at.join(apart, "key", "left_semi").select("key", "s", "c", "size"))
+    side = lambda p: apart.where(F.col("size") <= small_group).select("key", F.col("s").alias(p), F.col("c").alias(f"c{p}"))
+    within = side("a").join(side("b"), "key").where("a < b and ca <> cb").select("a", "b")
+    across = _near_in_groups(apart.where(F.col("size") > small_group), light, percent, group_block)
     more = within.unionByName(across).distinct().join(first, ["a", "b"], "left_anti").join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(stable(verified(more, docs, light, percent)))
+    links = links.unionByName(stable(verified(stable(more), docs, light, percent)))
     # classes to ids: copies hang on their class's smallest id
     name = light.select("s", F.col("doc_id").alias("id"))
     between = links.join(name.toDF("a", "u"), "a").join(name.toDF("b", "v"), "b").select("u", "v")
@@ -362,43 +381,98 @@ def linked_components(docs: DataFrame, percent: int = PERCENT, small_group: int
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _members(docs: DataFrame, percent: int) -> DataFrame:
-    """``key, s, lo``: the classes of every key that two or more hold, and the smallest of them."""
+def _shared_keys(docs: DataFrame, percent: int) -> DataFrame:
+    """``key, s``: the classes of every key that two or more hold."""
     keys = keyed(docs.where("doc_id is not null"), percent).repartition("key")
-    # both uses of the keys read one shuffle
-    several = keys.groupBy("key").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo < hi")
-    return stable(keys.join(several.select("key", "lo").hint("shuffle_hash"), "key").distinct())
+    # both uses of the keys read one shuffle; a class may hold a key in one of its bands only, so the bit for it tells no classes apart
+    several = keys.groupBy("key").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi")
+    return stable(keys.join(several.select("key").hint("shuffle_hash"), "key").distinct())
+
+
+def _index(shared: DataFrame, light: DataFrame) -> DataFrame:
+    """``key, s, size, centre``: every class under its rarest keys, the classes of a key so indexed, and their centre.
+
+    centre: ``(own keys, s)`` of the class with the fewest keys that no other class holds.
+    """
+    held = shared.groupBy("key").agg(F.count(F.lit(1)).alias("holders"))
+    k = shared.join(held, "key").select("key", "holders", F.col("s").bitwiseAND(F.lit(-2)).alias("s"), F.col("s").bitwiseAND(F.lit(1)).alias("lower"))
+    k = k.join(light.select("s", "keys", "spare", "spare_low"), "s")
+    common_first = Window.partitionBy("s", "lower").orderBy(F.desc("holders"), "key")
+    k = k.withColumn("r", F.row_number().over(common_first)).withColumn("own", F.col("keys") - F.count(F.lit(1)).over(Window.partitionBy("s")))
+    k = stable(k.where(F.col("r") > F.when(F.col("lower") == 1, F.col("spare_low")).otherwise(F.col("spare"))).select("key", "s", "own"))
+    groups = k.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("own", "s")).alias("centre")).where("size > 1")
+    return stable(k.join(groups, "key").select("key", "s", "size", "centre"))
 
 
 def _in_components(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members with the component of their class (``c``) and of their key's smallest class (``clo``)."""
+    """Members with the component of their class (``c``) and of their key's centre (``clo``)."""
     found = stable(connected_components(links.toDF("u", "v"), representative="min"))
     at = members.join(found.select(F.col("node").alias("s"), F.col("component").alias("c")), "s", "left")
     at = at.join(found.select(F.col("node").alias("lo"), F.col("component").alias("clo")), "lo", "left")
-    return stable(at.select("key", "s", "lo", F.coalesce("c", "s").alias("c"), F.coalesce("clo", "lo").alias("clo")))
+    return stable(at.select("key", "s", "lo", "size", F.coalesce("c", "s").alias("c"), F.coalesce("clo", "lo").alias("clo")))
 
 
-def _needy(commons: DataFrame, light: DataFrame, percent: int) -> DataFrame:
-    """Classes that keep too few keys for the pigeonhole once their common keys are left out.
+def _near_in_groups(groups: DataFrame, light: DataFrame, percent: int, block: int) -> DataFrame:
+    """``a, b``: pairs in different components of a key whose sizes and sketches allow a link, for ``key, s, c, size`` rows.
 
-    A class has at least its non-empty parts of its upper band less the common keys; since keys of both its bands are
-    counted as common, this errs on the safe side. Non-empty parts are recounted from the size's worst case: what the sketch
-    does not tell is taken as empty.
+    Groups are cut into blocks by hashes of their classes, and every two blocks of a key meet in one place: a task holds two
+    blocks of sketches and hands on only pairs that may link. Classes of a group's largest component are not compared with
+    one another.
     """
-    sizes = light.select("s", "n").join(commons, "s")
+    of = groups.join(light.select("s", "n", "sketch"), "s")
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    of = of.withColumn("mine", F.pmod(F.xxhash64("s"), blocks).cast("int"))
+    of = of.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    of = of.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "s", "c", "n", "sketch")
+
+    def compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        same = rows["p"][0].as_py() == rows["q"][0].as_py()
+        mine, s, c, n = (rows[x].to_numpy() for x in ("mine", "s", "c", "n"))
+        raw = [np.frombuffer(x, np.uint8) for x in rows["sketch"].to_pylist()]
+        width = min(map(len, raw))
+        sketch = np.stack([_fold(x, width) for x in raw]).view(np.uint64)
+        names, of_name, count = np.unique(c, return_inverse=True, return_counts=True)
+        main, here = of_name == count.argmax(), mine == mine.min()
+        if same:
+            sides = [(~main, main | ~main)]
+        else:
+            sides = [(here & ~main, ~here), (here & main, ~here & ~main)]
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for left, right in ([np.flatnonzero(x) for x in xy] for xy in sides):
+            step = max(1, COMPARE_WORDS // max(1, len(right) * sketch.shape[1]))
+            for i in range(0, len(left), step):
+                x = left[i : i + step]
+                nx, ny = n[x][:, None], n[right][None, :]
+                allowed = (nx + ny) * (100 - percent) // (100 + percent)
+                allowed[(c[x][:, None] == c[right][None, :]) | (nx * 100 < ny * percent) | (ny * 100 < nx * percent)] = -1
+                far = np.bitwise_count(sketch[x][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2, dtype=np.int64)
+                u, v = np.nonzero(far <= allowed)
+                a.append(s[x[u]]), b.append(s[right[v]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pairs[0], pairs[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for n, common in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                enough = True
-                own = band_of(n, percent)
-                for band in {own, max(0, own - 1)}:
-                    k, d = parts_of(band, percent)
-                    empty = k * (1 - 1 / k) ** n
-                    # expected empty parts and six standard deviations
-                    enough &= k - empty - 6 * math.sqrt(empty + 1) - common >= d + 1
-                keep.append(not enough)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_()))], names=["s"])
-
-    return sizes.select("s", "n", "common").mapInArrow(run, "s long")
+        held: list[pa.RecordBatch] = []
+        at = None
+
+        def out() -> pa.RecordBatch:
+            a, b = compare(pa.Table.from_batches(held))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            place = [batch.column(i).to_numpy() for i in range(3)]
+            cuts = [0, *(np.flatnonzero(np.any([np.diff(x) != 0 for x in place], axis=0)) + 1).tolist(), batch.num_rows]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
+                    continue
+                here = tuple(x[i] for x in place)
+                if held and here != at:
+                    yield out()
+                    held.clear()
+                at = here
+                held.append(batch.slice(i, j - i))
+        if held:
+            yield out()
+
+    return of.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "a long, b long")

@@ -82,10 +82,73 @@ def test_bounds_hold(seed):
             different = len(np.setxor1d(*sets))
             assert jj.sketch_distance(*(jj.bit_sketch(s) for s in sets)) <= different
             if jaccard(shingles(a), shingles(b)) >= 0.8:
-                keys = [set(jj.part_keys(np.zeros(len(s), np.int64), s, np.array([len(s)]))[1].tolist()) for s in sets]
+                keys = [set(jj.part_keys(np.zeros(len(s), np.int64), s, np.array([len(s)]))[2].tolist()) for s in sets]
                 assert keys[0] & keys[1]
 
 
+def test_passage_in_short_texts(spark):
+    """A passage that makes up most of 2,000 short texts, some of them near copies; the index alone tells most apart."""
+    rng = random.Random(11)
+    passage = prose(rng, 40, 5000).split()
+    data = []
+    for i in range(2000):
+        if i and rng.random() < 0.2:
+            w = rng.choice(data)[1].split(" ")
+            w[rng.randrange(len(w))] = f"n{i}"
+        else:
+            w = [f"a{rng.randrange(10**6)}" for _ in range(rng.choice([2, 6, 10, 20, 40]))] + passage
+        data.append((i, " ".join(w)))
+    docs = spark.createDataFrame([(d, t, None, None, 0) for d, t in data], SCHEMA)
+    got = {tuple(r) for r in rows(jj.linked_components(docs, group_block=97), "doc_id", "n_shingles", "component_id")}
+    # brute force over shared shingles that not all texts hold: a link needs those of the passage and more, or little else
+    assert got == set(brute(data))
+
+
+def test_cluster_of_near_copies(spark):
+    """Copies with many edits each: links among some, none among others, all in the same large groups."""
+    rng = random.Random(5)
+    base = prose(rng, 150, 5000).split()
+    data = []
+    for i in range(500):
+        w = list(base)
+        for _ in range(rng.randrange(12)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        data.append((i, " ".join(w)))
+    docs = spark.createDataFrame([(d, t, None, None, 0) for d, t in data], SCHEMA)
+    got = sorted(rows(jj.linked_components(docs, group_block=64), "doc_id", "n_shingles", "component_id"))
+    assert got == brute(data)
+    assert len({c for *_, c in got}) > 5
+
+
+def test_index_keeps_a_key_of_every_link():
+    """Of all keys in one order, the rarest that the index keeps of two linked sets share one in a band of both."""
+    rng = random.Random(9)
+    base = [prose(rng, 150, 5000).split() for _ in range(3)]
+    texts = []
+    for i in range(150):
+        w = list(base[i % 3])
+        for _ in range(rng.randrange(10)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    owner, h = jj.shingle_sets([t.encode() for t in texts])
+    n, _ = jj.set_digests(owner, h, len(texts))
+    who, lower, key = jj.part_keys(owner, h, n)
+    filled, spare = jj.part_counts(owner, h, n)
+    holders = {}
+    for k in key.tolist():
+        holders[k] = holders.get(k, 0) + 1
+    index = [set() for _ in texts]
+    for i in range(len(texts)):
+        for low in (0, 1):
+            mine = sorted(key[(who == i) & (lower == low)].tolist(), key=lambda k: (-holders[k], k))
+            assert len(mine) == filled[low][i]
+            index[i] |= set(mine[spare[low][i] :])
+    sets = [shingles(t) for t in texts]
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    assert len(linked) > 100
+    assert all(index[i] & index[j] for i, j in linked)
+
+
 def test_bands_cover_partners():
     for n in range(1, 3000):
         own = jj.band_of(n)
