@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgeloom.llm.text import constant_array
 from edgeloom.llm.tokens import word_tokenizer
 from edgeloom.session import stable
 
@@ -28,8 +29,8 @@ PATTERN_DOCS = 3
 #: Shares of the fitted repeats that are planned; the rest stays with the residuals, whose short pieces fill the patterns' slack.
 #: Each is tried on the histogram, and the plan with the fewest sequences is taken.
 SHARES = (0.75, 0.5, 0.25)
-#: Ways each length is split for ranking, so that a frequent length is no single task.
-SALTS = 64
+#: Pieces of a length that are ranked in one place; a length that has more is split into as many parts as that takes.
+RANKED = 500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -60,12 +61,11 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
-    """Non-negative least squares by active sets (Lawson and Hanson 1974), on the normal equations."""
-    gram, rhs = a.T @ a, a.T @ b
+    """Non-negative least squares by active sets (Lawson and Hanson 1974); normal equations for the free columns only."""
     x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
-    tolerance = 1e-9 * max(1.0, float(np.abs(rhs).max(initial=0)))
+    tolerance = 1e-9 * max(1.0, float(np.abs(a.T @ b).max(initial=0)))
     for _ in range(rounds or 3 * a.shape[0]):
-        slope = rhs - gram @ x
+        slope = a.T @ (b - a @ x)
         slope[free] = -np.inf
         j = int(np.argmax(slope)) if len(slope) else 0
         if not len(slope) or slope[j] <= tolerance:
@@ -73,8 +73,9 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
         free[j] = True
         while True:
             at = np.flatnonzero(free)
-            g = gram[np.ix_(at, at)]
-            trial = np.linalg.solve(g + 1e-10 * np.trace(g) / len(at) * np.eye(len(at)), rhs[at])
+            mine = a[:, at]
+            g = mine.T @ mine
+            trial = np.linalg.solve(g + 1e-10 * np.trace(g) / len(at) * np.eye(len(at)), mine.T @ b)
             if trial.min() > 0:
                 x[:] = 0
                 x[at] = trial
@@ -108,11 +109,28 @@ def patterns(present: list[int], capacity: int, most: int) -> list[tuple[int, ..
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN, most: int = PATTERN_DOCS, share: float = SHARES[0]) -> tuple[dict[int, list[tuple[int, int, int]]], int]:
+def fit(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN, most: int = PATTERN_DOCS) -> tuple[list[tuple[int, ...]], np.ndarray]:
+    """The patterns of a histogram's rounded lengths, and how often each is fitted to occur."""
+    h: dict[int, int] = defaultdict(int)
+    for n, c in histogram.items():
+        if c and n < capacity:
+            h[-(-n // grain)] += c
+    sizes = sorted(h)
+    pats = patterns(sizes, capacity // grain, most)
+    at = {s: i for i, s in enumerate(sizes)}
+    a = np.zeros((len(sizes), len(pats)))
+    for j, p in enumerate(pats):
+        for s in p:
+            a[at[s], j] += 1
+    return pats, nnls(a, np.array([h[s] for s in sizes], float)) if pats else np.empty(0)
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN, most: int = PATTERN_DOCS, share: float = SHARES[0], fitted: tuple[list[tuple[int, ...]], np.ndarray] | None = None) -> tuple[dict[int, list[tuple[int, int, int]]], int]:
     """Runs ``(count, first sequence, offset)`` of each length's places in order of rank, and the number of sequences.
 
     The nth piece of a length takes the nth place of its runs. All pieces of the histogram get exactly one place.
     """
+    pats, repeats = fitted or fit(histogram, capacity, grain, most)
     left = {n: c for n, c in sorted(histogram.items()) if c}
     runs: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     open_: dict[int, list[tuple[int, int]]] = defaultdict(list)  # slack: (first sequence, count)
@@ -123,25 +141,16 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN
     bins = defaultdict(list)
     for n in left:
         bins[-(-n // grain)].append(n)
-    sizes, cap = sorted(bins), capacity // grain
-    pats = patterns(sizes, cap, most)
-    if pats:
-        at = {s: i for i, s in enumerate(sizes)}
-        a = np.zeros((len(sizes), len(pats)))
-        for j, p in enumerate(pats):
-            for s in p:
-                a[at[s], j] += 1
-        h = np.array([sum(left[n] for n in bins[s]) for s in sizes], float)
-        times = np.floor(share * nnls(a, h) + 1e-6).astype(int)
-        remain, alive = h.astype(int), list(left)
+    if len(pats):
+        remain, alive = {s: sum(left[n] for n in bins[s]) for s in bins}, list(left)
+        times = np.floor(share * repeats + 1e-6).astype(int)
         for j in np.argsort(-times, kind="stable"):
-            k = int(times[j])
-            if k:
-                need = a[:, j].astype(int)
-                k = min(k, *(int(remain[i]) // int(need[i]) for i in np.flatnonzero(need)))
+            need = Counter(pats[j])
+            k = min(int(times[j]), *(remain[s] // c for s, c in need.items()))
             if k <= 0:
                 continue
-            remain -= need * k
+            for s, c in need.items():
+                remain[s] -= c * k
             # Exact lengths for k copies: the longest of each bin, and for the last slot whatever best fills the rest.
             # As many copies at once as have the same lengths.
             while k:
@@ -198,8 +207,9 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN
 
 
 def best_plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN, most: int = PATTERN_DOCS) -> tuple[dict[int, list[tuple[int, int, int]]], int]:
-    """The plan with the fewest sequences among the planned ``SHARES``."""
-    return min((plan(histogram, capacity, grain, most, share) for share in SHARES), key=lambda p: p[1])
+    """The plan with the fewest sequences among the planned ``SHARES`` of one fit."""
+    fitted = fit(histogram, capacity, grain, most)
+    return min((plan(histogram, capacity, grain, most, share, fitted) for share in SHARES), key=lambda p: p[1])
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, most: int = PATTERN_DOCS) -> DataFrame:
@@ -213,12 +223,13 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, most:
     for n, rs in runs.items():
         counts = np.array([r[0] for r in rs], np.int64)
         table[n] = (np.cumsum(counts) - counts, np.array([r[1] for r in rs], np.int64), np.array([r[2] for r in rs], np.int64))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
+    parts = F.get(constant_array([float(-(-histogram.get(n, 0) // RANKED) or 1) for n in range(capacity + 1)]), F.col("length").cast("int")).cast("long")
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), parts))
     starts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("length").orderBy("salt")
     starts = starts.select("length", "salt", (F.sum("n").over(w) - F.col("n")).alias("before"))
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
-    # at most capacity * SALTS rows, so the broadcast is bounded
+    # a row for each length, and one for every RANKED pieces: the broadcast is bounded by capacity and a millionth of the pieces
     ranked = salted.withColumn("r", rank).join(F.broadcast(starts), ["length", "salt"])
     ranked = ranked.withColumn("r", F.col("r") - 1 + F.col("before")).drop("salt", "before")
     names = [c for c in ranked.columns if c != "r"]
