@@ -2,7 +2,7 @@
 
 DataFrame functions only. One hash for each five-word shingle; its top bits name the bin, and a sort of a primitive array
 brings each bin's smallest value to the front. An empty bin borrows from the first full bin in a random order of its own, so
-equal sets borrow alike and bins borrow independently.
+alike sets borrow alike and bins borrow independently.
 """
 
 from __future__ import annotations
@@ -20,9 +20,12 @@ SHINGLE = 5
 BIN_BITS = 8
 #: Low-order bits kept of each bin's value.
 LOW_BITS = 8
-#: Ranges of the id order in ``with_next``.
-RANGES = 256
-#: Donors that an empty bin tries one by one before it looks at all full bins; with few full bins it does so at once.
+#: Quantiles of the ids in ``with_next``, and bytes of the rows that one place takes: ranges between quantiles that hold more
+#: are cut again.
+QUANTILES = 256
+PLACE_BYTES = 1 << 26
+#: Donors that an empty bin tries one by one, in an order of its own, before it looks at all full bins. Whatever bins are full,
+#: a bin's order of donors is the same: alike texts borrow alike.
 TRIES = 16
 
 
@@ -67,9 +70,7 @@ def sketch(df: DataFrame, words: str, out: str, bin_bits: int = BIN_BITS, low_bi
         return F.coalesce(*[F.get(dense, F.get(F.get(donors, b), F.lit(t))) for t in range(TRIES)], nearest(b))
 
     low = lambda v: v.bitwiseAND(F.lit((1 << low_bits) - 1)).cast("short")
-    many = F.transform(dense, lambda v, b: low(F.coalesce(v, borrowed(b))))
-    few = F.transform(dense, lambda v, b: low(F.coalesce(v, nearest(b))))
-    packed = F.when(F.size(first) * 8 < bins, few).otherwise(many)
+    packed = F.transform(dense, lambda v, b: low(F.coalesce(v, borrowed(b))))
     return df.withColumn(out, F.when(F.size(h) > 0, packed)).drop(h, first, place, dense)
 
 
@@ -90,22 +91,34 @@ def packed_string(sketch_: Column, low_bits: int = LOW_BITS) -> Column:
     return F.coalesce(F.array_join(F.transform(sketch_, lambda v: F.lpad(F.lower(F.hex(v.cast("long"))), digits, "0")), ""), F.lit(""))
 
 
-def with_next(rows: DataFrame, carry: list[str], ranges: int = RANGES, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def with_next(rows: DataFrame, carry: list[str], place_bytes: int = PLACE_BYTES, prepare: Callable[[DataFrame], DataFrame] = lambda df: df, weight: Column | None = None) -> DataFrame:
     """Adds ``next_<c>`` for each carried column: its value in the next row by ascending ``doc_id``, the last row's in the first.
 
-    rows: ``doc_id`` (integer), ``tie`` (orders equal ids) and what ``prepare`` makes the carried columns of, row by row. Ids
-    are cut into ranges at approximate quantiles. Each range is also given a copy of the next one's first row, so that looking
-    ahead never leaves it: rows are shuffled once, and no task sees more than a range. Null ids come first. A lone row is its
-    own next one.
+    rows: ``doc_id`` (integer), ``tie`` (orders equal ids) and what ``prepare`` makes the carried columns of, row by row; weight:
+    bytes of a row. Ids are cut at approximate quantiles, and what lies between two quantiles into equal steps: as many as all
+    rows' bytes ask for. Rows of one id that spans quantiles, or of no id, are cut by their ties likewise. Each range is also
+    given a copy of the next one's first row, so that looking ahead never leaves it: rows are shuffled once, and no task sees
+    more than a range. Null ids come first. A lone row is its own next one.
     """
     slim = rows.select("doc_id", "tie")
-    cuts = slim.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10_000)).head()[0]
-    bounds = F.from_json(F.lit(str(sorted({int(c) for c in cuts or []}))), "array<long>")
-    place = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(bounds, lambda c: c <= F.col("doc_id"))))
-    # one row for each range, so at most ranges + 1 rows reach the driver
+    quantiles = F.percentile_approx("doc_id", [i / QUANTILES for i in range(1, QUANTILES)], 10_000)
+    bounds, least, last, size = rows.agg(quantiles, F.min("doc_id"), F.max("doc_id"), F.sum(F.lit(1) if weight is None else weight)).head()
+    bounds = sorted({int(c) for c in bounds or []})
+    steps = max(1, -(-int(size or 0) // (place_bytes * QUANTILES)))
+    cuts = F.from_json(F.lit(str(bounds)), "array<long>")
+    at = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(cuts, lambda c: c <= F.col("doc_id"))))
+    if steps > 1:
+        # steps of ties where the id is the quantile itself (or null), then steps of the ids up to the next quantile
+        low, high = (F.get(F.from_json(F.lit(str(x)), "array<long>"), at) for x in ([least or 0, *bounds], [*bounds, (last or 0) + 1]))
+        by_tie = F.least(F.floor((F.col("tie") / 2.0**64 + 0.5) * steps), F.lit(steps - 1))
+        by_id = F.least(F.floor((F.col("doc_id").cast("double") - low) / (high - low) * steps), F.lit(steps - 1))
+        fine = F.when(F.col("doc_id").isNull() | (F.col("doc_id") == low), by_tie).otherwise(F.lit(steps) + by_id)
+        at = at * (2 * steps) + fine
+    place = at.cast("long")
+    # one row for each range reaches the driver: some thousand, or two for every PLACE_BYTES
     firsts = slim.groupBy(place.alias("range")).agg(F.min(F.struct("doc_id", "tie")).alias("f")).orderBy("range").collect()
     ring = [(firsts[i - 1]["range"], r["f"]["doc_id"], r["f"]["tie"]) for i, r in enumerate(firsts)]
-    heads = rows.sparkSession.createDataFrame(ring, "range int, head_id long, head_tie long")
+    heads = rows.sparkSession.createDataFrame(ring, "range long, head_id long, head_tie long")
     match = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie"))
     # so few rows are picked before anything is computed for them
     picked = rows.join(F.broadcast(heads), match).drop("head_id", "head_tie").dropDuplicates(["range"])
@@ -124,7 +137,7 @@ def fingerprint_pairs(docs: DataFrame, bin_bits: int = BIN_BITS, low_bits: int =
     """
     d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sketched = lambda df: sketch(df.withColumn("words", words_of(F.col("text"))), "words", "sketch", bin_bits, low_bits).drop("words")
-    d = with_next(d.withColumn("tie", F.xxhash64("text")), ["text", "sketch"], prepare=sketched).withColumn("n_chars", F.char_length("text").cast("long"))
+    d = with_next(d.withColumn("tie", F.xxhash64("text")), ["text", "sketch"], prepare=sketched, weight=F.octet_length("text")).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     kept = F.substr("text", F.lit(1), F.col("n_chars").cast("int") - half)
     d = d.withColumn("edited", F.concat(kept, F.substr("next_text", F.lit(1), half))).drop("next_text", "text")
