@@ -6,12 +6,12 @@ read whole, in windows of a fixed number of bytes that all go through the networ
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +25,7 @@ STEPS = 260
 BATCH = 192
 #: Windows that go through the network at once when predicting.
 BLOCK = 2048
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
@@ -185,11 +185,14 @@ def held_out(doc_id) -> F.Column:
 def sample_windows(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, per_doc: int = WINDOWS_PER_DOC, window: int = WINDOW) -> tuple[list[bytes], list[str]]:
     """Training windows and their labels: a bounded sample of labelled documents outside the held-out part.
 
-    Documents are drawn by hashes of their ids, windows by hashes of id and number anywhere in the text.
+    Documents are drawn by hashes of their ids, windows by hashes of id and number anywhere in the text. Only ids with hashes so
+    small that about twice as many are left as wanted are ranked: what meets in one place does not grow with the table.
     """
     fit = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = fit.select("doc_id", "lang").withColumn("r", rank).where(F.col("r") <= per_language).select("doc_id").distinct()
+    counted = F.broadcast(fit.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))  # a row for each language
+    low = F.xxhash64("doc_id") / 2.0**64 + 0.5 < (2.0 * per_language + 200) / F.col("n")
+    ids = fit.select("doc_id", "lang").join(counted, "lang").where(low).withColumn("r", rank).where(F.col("r") <= per_language).select("doc_id").distinct()
     drawn = fit.select("doc_id", F.col("lang").cast("string"), "text").join(F.broadcast(ids), "doc_id", "left_semi")  # bounded by per_language
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,12 +217,13 @@ def fit(docs: DataFrame, steps: int = STEPS) -> Network | None:
     return train(windows, labels, steps) if labels else None
 
 
-def identify(docs: DataFrame, net: Network | None, column: str = "text", carry: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, net: Network | None, column: str = "text", carry: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Adds ``lang_pred`` and ``score`` (mean probability of the language over all positions) to the carried columns.
 
-    ``und`` with score 0 for a null text, one without a letter, or without a network.
+    ``und`` with score 0 for a null text, one without a letter (Unicode category L), or without a network. Carried columns
+    (all by default) of the same names give way; pass other ``names`` to keep them.
     """
-    carry = carry if carry is not None else docs.columns
+    carry = [c for c in (carry if carry is not None else docs.columns) if c not in names]
     inner = docs.select(*[F.col(c) for c in carry], F.col(column).cast("string").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-1])
     sent = docs.sparkSession.sparkContext.broadcast(net)
@@ -242,6 +246,6 @@ def identify(docs: DataFrame, net: Network | None, column: str = "text", carry:
                         lang.append(model.languages[best[j]] if known[at + j] else UNKNOWN)
                         score.append(float(min(1.0, p[j, best[j]])) if known[at + j] else 0.0)
                     at, held, size = i + 1, [], 0
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*carry, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*carry, *names])
 
-    return inner.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return inner.mapInArrow(run, f"{schema + ', ' if schema else ''}`{names[0]}` string, `{names[1]}` double")

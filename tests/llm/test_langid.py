@@ -34,13 +34,14 @@ def test_gradients():
 def labelled(spark):
     rng = random.Random(5)
     data = [(i, text(rng, lang := rng.choice(list(SYLLABLES)), rng.choice([2, 20, 300])), lang, "s", 0) for i in range(400)]
-    data += [(900, None, "aa", "s", 0), (901, "12 !?", "bb", "s", 0), (902, "", None, "s", 0), (None, text(rng, "cc", 30), "cc", None, None), (903, text(rng, "bb", 30_000), None, "s", 0)]
+    data += [(900, None, "aa", "s", 0), (901, "12 !? ² ½ Ⅷ", "bb", "s", 0), (902, "", None, "s", 0), (None, text(rng, "cc", 30), "cc", None, None), (903, text(rng, "bb", 30_000), None, "s", 0)]
     return spark.createDataFrame(data, SCHEMA)
 
 
 def test_held_out_accuracy(spark, labelled):
     net = langid.fit(labelled, steps=120)
-    got = langid.identify(clash(labelled).drop("score"), net, carry=["doc_id", "lang", "text"])
+    got = langid.identify(clash(labelled).withColumn("lang_pred", langid.F.lit(3)), net)
+    assert got.columns.count("score") == got.columns.count("lang_pred") == 1
     out = rows(got.select("doc_id", "lang", "lang_pred", "score", langid.held_out(got["doc_id"])))
     assert len(out) == 405 and all(0 <= s <= 1 for *_, s, _ in out)
     held = [(a, b) for d, a, b, _, h in out if h and a and b != "und"]
@@ -70,3 +71,20 @@ def test_without_labels(spark):
     assert langid.identify(empty(spark), None).count() == 0
     d = spark.createDataFrame([(1, "text", None, None, 4)], SCHEMA)
     assert rows(langid.identify(d, langid.fit(d)), "lang_pred", "score") == [("und", 0.0)]
+
+
+def test_sample_is_the_smallest_hashes(spark, labelled):
+    """The bound on hashes before the ranking changes nothing but the work."""
+    few = langid.sample_windows(labelled, per_language=5)
+    ids = labelled.where("lang is not null and text is not null and doc_id is not null").where(~langid.held_out(labelled["doc_id"]))
+    by = {}
+    for d, y, t in rows(ids.orderBy(langid.F.xxhash64("doc_id")), "doc_id", "lang", "text"):
+        by.setdefault(y, []).append(t)
+    want = {y: set(ts[:5]) for y, ts in by.items()}
+    assert all(any(raw in t.encode() for t in want[y]) for raw, y in zip(*few, strict=True))
+
+
+def test_names_of_the_outputs(spark, labelled):
+    docs = clash(labelled)
+    got = langid.identify(docs, None, names=("__a", "__b"))
+    assert got.columns == [*docs.columns, "__a", "__b"]
