@@ -55,7 +55,9 @@ def _runs(counts: list[int], least: int) -> set[tuple[int, int]]:
 
 
 def units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, runs: bool = False) -> DataFrame:
-    """``h1, h2, doc_id, start, end, n_words, own``: every unit of at least ``min_words``, by code-point offsets into its text.
+    """``h1, h2, doc_id, text_hash, start, end, n_words, own``: every unit of at least ``min_words``, by code-point offsets.
+
+    text_hash: ``xxhash64`` of the whole text, which tells rows of one id (or none) apart.
 
     runs: shorter units too, each with as many neighbours as make up ``min_words``, as one span. own: start of the first equal span of
     the text if that reaches into this one, else its own start.
@@ -67,11 +69,12 @@ def units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, r
 
         mask = (1 << 63) - 1
         for b in batches:
-            h1, h2, doc, start, end, words, own = [], [], [], [], [], [], []
+            h1, h2, doc, whole, start, end, words, own = [], [], [], [], [], [], [], []
             for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if not text:
                     continue
-                spans = []
+                spans, of_text = [], xxhash.xxh64_intdigest(text, 42)
+                of_text -= of_text >> 63 << 64
                 for m in pattern.finditer(text):
                     found = m[0].lower().split()
                     if found and (runs or len(found) >= min_words):
@@ -83,37 +86,41 @@ def units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, r
                 seen: dict[int, tuple[int, int]] = {}
                 for found, at, to, n in sorted(chosen, key=lambda x: x[1]):
                     x = xxhash.xxh3_128_intdigest(found)
-                    h1.append(x & mask), h2.append((x >> 64) & mask), doc.append(d), start.append(at), end.append(to), words.append(n)
+                    h1.append(x & mask), h2.append((x >> 64) & mask), doc.append(d), whole.append(of_text), start.append(at), end.append(to), words.append(n)
                     began, ended = seen.setdefault(x, (at, to))
                     own.append(began if at < ended else at)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            names = ["h1", "h2", "doc_id", "start", "end", "n_words", "own"]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((h1, h2, doc, start, end, words, own), types, strict=True)], names=names)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            names = ["h1", "h2", "doc_id", "text_hash", "start", "end", "n_words", "own"]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((h1, h2, doc, whole, start, end, words, own), types, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "h1 long, h2 long, doc_id long, start long, end long, n_words int, own long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "h1 long, h2 long, doc_id long, text_hash long, start long, end long, n_words int, own long")
 
 
 def repeated_spans(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, runs: bool = False) -> DataFrame:
-    """``doc_id, start, end, n_words, kept_doc_id, kept_start``: each unit that an earlier one equals, beside the earliest.
+    """``doc_id, start, end, n_words, kept_doc_id, kept_start, text_hash``: each unit that an earlier one equals, beside the earliest.
 
-    Earliest by ``(doc_id, start)``, null ids last. Offsets are code points of the original text. Repeats within a text
-    count too. Rows that repeat as a whole (id and text) count as one. Null texts have no units.
+    Earliest by ``(doc_id, start)``, null ids last; texts that share an id, or have none, come in the order of ``text_hash``, by
+    which ``remove_spans`` tells them apart. Offsets are code points of the original text. Repeats within a text count too.
+    Rows that repeat as a whole (id and text) count as one. Null texts have no units.
     runs: units of under ``min_words`` are looked for as runs with their neighbours (spans may then overlap); a run that
     overlaps the earliest one itself is no repeat of it.
     """
     u = units(docs, unit, min_words, runs)
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("start"))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"), F.col("start"))
     # summed map-side: a unit that makes up a third of all rows is a few rows of each task
     first = u.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
-    first = first.where("first <> last").select("h1", "h2", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
-    later = ~(F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("own") == F.col("kept_start")))
-    return u.join(first, ["h1", "h2"]).where(later).select("doc_id", "start", "end", "n_words", "kept_doc_id", "kept_start")
+    first = first.where("first <> last").select("h1", "h2", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"), F.col("first.text_hash").alias("kept_hash"))
+    later = ~(F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("text_hash") == F.col("kept_hash")) & (F.col("own") == F.col("kept_start")))
+    return u.join(first, ["h1", "h2"]).where(later).select("doc_id", "start", "end", "n_words", "kept_doc_id", "kept_start", "text_hash")
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """The documents with all spans cut out of their texts, other columns as they were."""
+    """The documents with all spans cut out of their texts, other columns as they were.
+
+    Spans belong to rows by id and ``text_hash``: rows without an id, and texts that share one, each lose their own.
+    """
     columns = docs.columns
-    cut = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__cut"))
+    cut = spans.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__cut"))
     text = F.concat(
         F.aggregate(
             "__cut",
@@ -125,5 +132,6 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
             lambda a: F.concat(a["out"], F.substr("text", (a["at"] + 1).cast("int"), F.char_length("text"))),
         )
     )
-    joined = docs.join(cut, "doc_id", "left").withColumn("text", F.when(F.col("__cut").isNull(), F.col("text")).otherwise(text))
+    mine = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash"))
+    joined = docs.join(cut, mine, "left").withColumn("text", F.when(F.col("__cut").isNull(), F.col("text")).otherwise(text))
     return joined.select(*columns)

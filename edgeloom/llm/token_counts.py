@@ -10,6 +10,7 @@ table and cover most of the text; only the rare rest of each document is shuffle
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,8 +22,9 @@ from edgeloom.session import release, stable
 
 BLANK = "▁"
 PRE_TOKEN = re.compile(f"\n|[ {BLANK}]+[^ {BLANK}\n]*|[^ {BLANK}\n]+")
-#: Pre-tokens of the broadcast table: some 20 bytes each on the wire.
+#: Pre-tokens of the broadcast table at most, and bytes of one of them: longer ones are counted like rare ones.
 FREQUENT = 1_000_000
+FREQUENT_BYTES = 64
 #: A task hands on its counts beyond so many distinct pre-tokens.
 FLUSH = 300_000
 
@@ -54,7 +56,7 @@ class PieceCounter:
 
 
 _COUNTERS: dict[str, PieceCounter] = {}
-_TABLES: dict[int, dict[str, int]] = {}
+_TABLES: dict[str, dict[str, int]] = {}
 
 
 def _counter(path: str) -> PieceCounter:
@@ -100,12 +102,13 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, frequent: int =
     spark = docs.sparkSession
     table = stable(vocabulary(docs, model))
     release(spark, at_once=True)  # the shuffle of the partial counts
-    top = table.orderBy(F.desc("freq"), "token").limit(frequent).select("token", "pieces").toArrow()
+    top = table.where(F.octet_length("token") <= FREQUENT_BYTES).orderBy(F.desc("freq"), "token").limit(frequent).select("token", "pieces").toArrow()
+    ident = uuid.uuid4().hex  # names the table in workers that serve several calls
     known = spark.sparkContext.broadcast((top["token"].to_pylist(), top["pieces"].to_pylist()))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("key"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (ident := id(known.value)) not in _TABLES:
+        if ident not in _TABLES:
             _TABLES.clear()
             _TABLES[ident] = dict(zip(*known.value, strict=True))
         get = _TABLES[ident].get
