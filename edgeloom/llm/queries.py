@@ -58,7 +58,7 @@ def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op7_training_order(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
     folder = shuffle.shared_folder(docs, "training-order")
-    return shuffle.materialize(docs, public_tokenizers.path("word_bpe_49k.json"), folder, seed=1)
+    return shuffle.materialize(docs, public_tokenizers.path("word_bpe_49k.json"), folder, seed=1).withColumn("folder", F.lit(folder))
 
 
 def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:

@@ -18,6 +18,12 @@ _LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 ITEM = re.compile(f"[{_LATIN}]+(?=[{_SPACE}.,!?]|$)|[.,!?]+(?=[{_SPACE}]|$)|[^{_SPACE}]+")
 PLAIN = re.compile(f"[{_LATIN}]+")
 CACHE_ITEMS = 600_000
+#: Signs at which ``str.split`` parts texts and ``ITEM`` does not.
+_SEPARATOR = re.compile("[\x1c-\x1f]")
+
+
+#: Texts that a tokenizer must part as ``ITEM`` does to be asked for single items; others are asked for whole texts.
+PROBES = ("Two words, and more... Done! Was it? don't \"quoted\" (so) 12.5% #tag a_b", " lead\ttab\nline  two  blanks \xa0 end ", "Ünïcödé straße. 日本語テキスト。 mixed日本 🎉!? x.y.z", "a,b;c:d e.f, g", "")
 
 
 class WordTokenizer:
@@ -31,10 +37,17 @@ class WordTokenizer:
         # two generations: what is used again moves to the young one, the rest is forgotten with the old one
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        # what stands between white space, as a whole: words with the punctuation that clings to them
+        self.chunks: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.largest = max(vocabulary.values(), default=0)
+        self.ends = np.zeros(self.largest + 1, bool)
+        self.apart = all(self._whole([t])[0] == b"".join(self._whole(ITEM.findall(t))) for t in PROBES)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, items: list[str]) -> None:
         plain, rest = [], []
         for x in items:
@@ -57,19 +70,27 @@ class WordTokenizer:
                 self.young[x] = np.asarray(coded.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [ITEM.findall(t) if t else [] for t in texts]
-        seen = set().union(*split)
+        if not self.apart:
+            return self._whole([t or "" for t in texts])
+        split = [(ITEM.findall(t) if _SEPARATOR.search(t) else t.split()) if t else [] for t in texts]
+        if len(self.chunks) > 3 * self.limit:
+            self.chunks = {}
+        fresh = set().union(*split).difference(self.chunks)
+        parted = {x: ITEM.findall(x) for x in fresh}
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         missing = []
-        for x in seen.difference(self.young):
+        for x in set().union(*parted.values()).difference(self.young):
             if (known := self.old.get(x)) is None:
                 missing.append(x)
             else:
                 self.young[x] = known
         self._learn(missing)
         of = self.young.__getitem__
-        return [b"".join(map(of, items)) for items in split]
+        for x, items in parted.items():
+            self.chunks[x] = of(items[0]) if len(items) == 1 else b"".join(map(of, items))
+        of = self.chunks.__getitem__
+        return [b"".join(map(of, chunks)) for chunks in split]
 
 
 _LOADED: dict[str, WordTokenizer] = {}

@@ -7,7 +7,7 @@ import sentencepiece
 from helpers import AWKWARD, SCHEMA, clash, corpus, empty, rows
 from tokenizers import Tokenizer
 
-from edgeloom.llm import shuffle, substrings, token_counts
+from edgeloom.llm import shuffle, substrings, token_counts, tokens
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -29,7 +29,7 @@ def test_repeated_sentences(spark):
     s = ["The quick brown fox jumps over the lazy dog today.", "Another sentence that has more than eight words in it!", "Short one."]
     data = [(2, f"start {s[0]} {s[1]} x"), (1, f"{s[1]}\nzzz {s[2]}"), (3, f"{s[2]} And {s[0]} The  QUICK brown fox jumps over the lazy dog today. end"), (4, None), (None, s[1])]
     docs = spark.createDataFrame([(d, t, None, None, 0) for d, t in data], SCHEMA)
-    got = sorted(rows(substrings.repeated_spans(clash(docs))), key=str)
+    got = sorted((r[:6] for r in rows(substrings.repeated_spans(clash(docs)))), key=str)
     texts = dict(data)
     quick, other = "The  QUICK brown fox jumps over the lazy dog today.", s[1]
     want = [(2, texts[2].index(other), texts[2].index(other) + len(other), 10, 1, 0), (None, 0, len(other), 10, 1, 0)]
@@ -78,6 +78,35 @@ def test_runs_of_short_sentences(spark):
     assert left.split() == ["Ha."] * 8
 
 
+def test_spans_of_rows_that_share_an_id(spark):
+    """Rows without an id, and texts that share one, lose their own spans only; other rows stay whole."""
+    a, b = "This sentence has quite a few more than eight words in it.", "And here is another one that is also long enough for that."
+    data = [(1, f"{a} One."), (2, f"Two {a}"), (2, f"{b} x y z and some unrelated words that stay."), (None, f"{a} Four."), (None, f"q {b}"), (3, f"{b} tail")]
+    docs = spark.createDataFrame([(d, t, None, None, 0) for d, t in data], SCHEMA)
+    spans = substrings.repeated_spans(docs)
+    got = sorted(rows(substrings.remove_spans(clash(docs), spans), "doc_id", "text"), key=str)
+    kept = [t for _, t in got]
+    assert len(got) == 6 and (1, f"{a} One.") in got and sum(a in t for t in kept) == 1 and sum(b in t for t in kept) == 1
+    assert (None, " Four.") in got and (3, " tail") in got
+
+
+def test_long_pre_tokens(spark):
+    """Pre-tokens too long for the broadcast table are counted all the same, and a second call does not read the first one's table."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    for texts in (["x" * 500, "abc " * 30 + "y" * 3000], ["abc " * 10, "x" * 500 + " abc"]):
+        docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts * 3)], SCHEMA)
+        got = dict(rows(token_counts.count_tokens(docs, MODEL), "doc_id", "n_tokens"))
+        assert got == {i: len(sp.encode(t)) for i, t in enumerate(texts * 3)}
+
+
+def test_tokenizers_that_part_texts_otherwise():
+    """A tokenizer that does not part texts as the cache does is asked for whole texts."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, plain = tokens.WordTokenizer(path), Tokenizer.from_file(path)
+    texts = [t or "" for t in AWKWARD] + ["Some plain words, and more."]
+    assert not tok.apart and [np.frombuffer(x, "<u4").tolist() for x in tok.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_feistel():
     for n in (1, 2, 3, 10, 257, 5000):
         f = shuffle.Feistel(n, 9)
@@ -93,14 +122,14 @@ def test_training_order_round_trip(spark, tmp_path):
     index = rows(shuffle.materialize(clash(docs), WORDS, path, seed=3, record_ids=16, shard_records=100))
     total = len(index)
     assert sorted(r[3] for r in index) == list(range(total)) and sorted(r[2] for r in index) == list(range(total))
-    read = list(shuffle.read_records(path, 0, total + 5, total, 16, 100))
-    assert len(read) == total
-    tail = list(shuffle.read_records(path, 150, 30, total, 16, 100))
+    read = list(shuffle.read_records(spark, path))
+    assert len(read) == total == len(list(shuffle.read_records(spark, path, 0, total + 5)))
+    tail = list(shuffle.read_records(spark, path, 150, 30))
     assert all((a == b).all() for a, b in zip(tail, read[150:180], strict=True))
     tok = Tokenizer.from_file(WORDS)
     by_number = {}
     for doc, piece, number, slot, shard, position, crc in index:
-        assert shard == slot // 100 and position == slot % 100 * 32 and zlib.crc32(read[slot].tobytes()) == crc
+        assert shard == slot // 100 and position == slot % 100 * 33 and zlib.crc32(read[slot].tobytes()) == crc
         by_number[number] = (doc, piece, read[slot])
     stream, got = [], []
     for number in range(total):
@@ -115,9 +144,21 @@ def test_training_order_round_trip(spark, tmp_path):
     assert sorted(got, key=str) == sorted(want, key=str)
     again = rows(shuffle.materialize(docs.repartition(5), WORDS, str(tmp_path / "again"), seed=3, record_ids=16, shard_records=100))
     assert sorted(again, key=str) == sorted(index, key=str)
-    names = sorted(p.name for p in (tmp_path / "order").iterdir())
-    assert names == [f"shard-{i:08d}.bin" for i in range(-(-total // 100))]
+    files = sorted((tmp_path / "order").glob("shards-*/part-*"))
+    assert [f.stat().st_size for f in files] == [33 * 100] * (total // 100) + [33 * (total % 100)] * (total % 100 > 0)
     assert shuffle.materialize(empty(spark), WORDS, str(tmp_path / "none")).count() == 0
+    assert list(shuffle.read_records(spark, str(tmp_path / "none"))) == []
+
+
+def test_ids_of_four_bytes(spark, tmp_path, monkeypatch):
+    """Vocabularies beyond two bytes get four; ids that hold line ends or any other byte stay whole."""
+    docs = corpus(spark, 40)
+    monkeypatch.setattr(shuffle, "id_bytes", lambda tokenizer: 4)
+    index = rows(shuffle.materialize(docs, WORDS, str(tmp_path / "four"), record_ids=64, shard_records=50), "slot", "position", "crc32")
+    read = list(shuffle.read_records(spark, str(tmp_path / "four")))
+    assert {len(r.tobytes()) for r in read} == {256}
+    assert all(zlib.crc32(read[slot].tobytes()) == crc and position == slot % 50 * 257 for slot, position, crc in index)
+    assert any(b"\n" in r.tobytes() for r in read)
 
 
 def test_awkward_records(spark, tmp_path):
