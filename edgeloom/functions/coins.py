@@ -1,18 +1,19 @@
-"""Deterministic coins: the same seed and key always fall the same way."""
+"""Deterministic coins: the same seed and key always fall the same way. Keys are BIGINT columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from edgeloom.functions.hashing import mixed_hash_32
+
 
 def power_of_two_coin(power: int, seed: int, *key: Column) -> Column:
-    """True with probability ``2**-power``."""
+    """True with probability ``2**-power``, for powers up to 32."""
     mask = (1 << power) - 1
-    return F.xxhash64(F.lit(seed), *key).bitwiseAND(F.lit(mask)) == F.lit(mask)
+    return mixed_hash_32(seed, *key).bitwiseAND(F.lit(mask)) == F.lit(mask)
 
 
 def weighted_coin(probability: float, seed: int, *key: Column) -> Column:
-    """True with the given probability: 53 bits of the hash as a number in [0, 1)."""
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 11) / F.lit(float(1 << 53))
-    return unit < F.lit(probability)
+    """True with the given probability: 32 bits of hash as a number in [0, 1)."""
+    return mixed_hash_32(seed, *key) / F.lit(float(1 << 32)) < F.lit(probability)

@@ -26,6 +26,33 @@ def arithmetic_hash_32(x: Column, a: int, b: int, mask: int = M32) -> Column:
     return _low32(multiply_mod_2_32(a & M32, _low32(x)) + F.lit(b & M32)).bitwiseAND(F.lit(mask))
 
 
+def mixed_hash_32(seed: int, *keys: Column) -> Column:
+    """A well-mixed 32-bit hash of BIGINT keys: products modulo 2**32 and shifts, so that any engine can compute it."""
+    h: Column = F.lit(seed & M32).cast("long")
+    for key in keys:
+        key = key.cast("long")
+        h = h.bitwiseXOR(_low32(key)).bitwiseXOR(multiply_mod_2_32(0x9E3779B1, F.shiftrightunsigned(key, 32)))
+        for multiplier, shift in ((0x85EBCA6B, 13), (0xC2B2AE35, 16)):
+            h = multiply_mod_2_32(multiplier, h)
+            h = h.bitwiseXOR(F.shiftright(h, shift))
+    return h
+
+
+def mixed_hash_sql(name: str, seed: int, *keys: str) -> str:
+    """``mixed_hash_32`` as a list of SQL select items that use one another by name; the last is called ``name``."""
+    items, h = [], str(seed & M32)
+    for i, key in enumerate(keys):
+        items.append(f"xor(xor({h}::BIGINT, {key} & {M32}), CAST(({0x9E3779B1}::HUGEINT * ({key} >> 32)) % 4294967296 AS BIGINT)) AS {name}_{i}x")
+        h = f"{name}_{i}x"
+        for multiplier, shift in ((0x85EBCA6B, 13), (0xC2B2AE35, 16)):
+            items.append(f"CAST(({multiplier}::HUGEINT * {h}) % 4294967296 AS BIGINT) AS {name}_{i}m{shift}")
+            h = f"{name}_{i}m{shift}"
+            last = i + 1 == len(keys) and shift == 16
+            items.append(f"xor({h}, {h} >> {shift}) AS {name if last else f'{name}_{i}s{shift}'}")
+            h = f"{name}_{i}s{shift}"
+    return ", ".join(items)
+
+
 def _wide(a: int, x: Column, b: int) -> tuple[Column, Column]:
     """High and low 32 bits of ``a * x + b mod 2**64`` for 64-bit a and b and x below 2**32."""
     a_low, a_high, b_low, b_high = a & M32, (a >> 32) & M32, b & M32, (b >> 32) & M32

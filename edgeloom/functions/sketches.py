@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.functions.hashing import arithmetic_hash_32
+from edgeloom.functions.hashing import arithmetic_hash_32, mixed_hash_32
 
 MAX_32 = (1 << 32) - 1
 
@@ -73,7 +73,8 @@ def median_of_means(column: Column, groups: int = 5, copies: int = 5, seed: int
 
 def k_minimum_values(df: DataFrame, column: str, k: int, seed: int = 1) -> DataFrame:
     """One row ``estimate``: ``(k - 1) / kth smallest hash`` on the unit interval; the exact count below k values."""
-    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), column), 11) + 1) / F.lit(float(1 << 53))
+    high, low = (mixed_hash_32(seed + i, F.col(column)) for i in (0, 1))
+    unit = (F.shiftleft(high, 21) + F.shiftright(low, 11) + 1) / F.lit(float(1 << 53))
     lowest = df.where(F.col(column).isNotNull()).select(unit.alias("h")).distinct().orderBy("h").limit(k)
     return lowest.agg(
         F.when(F.count("h") < k, F.count("h")).otherwise(F.floor((k - 1) / F.max("h"))).cast("long").alias("estimate")

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgeloom.functions.hashing import mixed_hash_32
+from edgeloom.session import stable
+
 #: Named ascending orders of nodes, edges, labels and ranked edges; ``_columns`` adds those that are not plain columns.
 ORDERS: dict[str, list[str]] = {
     "node": ["node"],
@@ -36,27 +39,30 @@ def _columns(name: str) -> list[Column]:
 
 
 def shuffle_rows(edges: DataFrame, seed: int) -> DataFrame:
-    """A random order that depends on ``seed`` and the rows only, so a retried task gives the same order."""
-    return edges.orderBy(F.xxhash64(F.lit(seed), *[F.col(c) for c in edges.columns]))
+    """A random order that depends on ``seed`` and the rows (integer columns) only, so a retried task gives the same order."""
+    return edges.orderBy(*shuffle_order(seed, edges.columns))
+
+
+def shuffle_order(seed: int, columns: list[str]) -> list[Column]:
+    """What ``shuffle_rows`` sorts by: a hash of the row, and the row where hashes tie."""
+    return [mixed_hash_32(seed, *[F.col(c) for c in columns]), *[F.col(c) for c in columns]]
 
 
-def with_position(df: DataFrame, order: list[str], name: str = "pos", start: int = 0, buckets: int = 256) -> DataFrame:
+def with_position(df: DataFrame, order: list[str], name: str = "pos", start: int = 0) -> DataFrame:
     """Adds the running position in ``order`` from ``start``.
 
-    Rows are cut into ranges of the leading order column at approximate quantiles; each range numbers its own rows, and
-    the ranges' starts come from a prefix sum over one small row per range. So no task ever sees all rows, unless one
-    value of the leading column holds them all.
+    Rows are sorted into range partitions by all order columns, as many as Spark's shuffle asks for, and written down; each
+    partition numbers its own rows, and their starts come from a prefix sum over one row a partition. So no task ever sees
+    all rows, however few values a column has, and the input is computed once for its sample and once for the sort.
     """
-    lead = order[0]
-    cuts = df.agg(F.percentile_approx(lead, [i / buckets for i in range(1, buckets)], 10_000).alias("q")).head()[0]
-    cuts = sorted(set(cuts or []))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(lead))) if cuts else F.lit(0)
-    cut = df.withColumn("__bucket", F.when(F.col(lead).isNull(), F.lit(-1)).otherwise(bucket))
-    starts = cut.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    starts = starts.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")).alias("__start"))
-    local = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order)) - 1
-    out = cut.withColumn("__local", local).join(F.broadcast(starts), "__bucket")
-    return out.withColumn(name, F.col("__start") + F.col("__local") + F.lit(start)).drop("__bucket", "__local", "__start")
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    within = F.monotonically_increasing_id()  # the partition above, the row's place in it below
+    cut = stable(ranged.withColumn("__id", within).withColumn("__part", F.shiftright("__id", 33)).withColumn("__local", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id"))
+    starts = cut.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    starts = starts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__start"))
+    # one row for each partition of the shuffle
+    out = cut.join(F.broadcast(starts), "__part")
+    return out.withColumn(name, F.col("__start") + F.col("__local") + F.lit(start)).drop("__part", "__local", "__start")
 
 
 def is_sorted(df: DataFrame, order: list[str], position: str, strict: bool = True) -> DataFrame:

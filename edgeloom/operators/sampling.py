@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.functions.coins import power_of_two_coin, weighted_coin
+from edgeloom.functions.hashing import mixed_hash_32
 from edgeloom.operators.joins import relabel_edges
 from edgeloom.operators.ordering import with_position
 from edgeloom.operators.transforms import endpoints, orient_small_to_large
@@ -13,7 +14,7 @@ from edgeloom.operators.transforms import endpoints, orient_small_to_large
 
 def random_out_edge(edges: DataFrame, seed: int) -> DataFrame:
     """One uniform out-edge for every source."""
-    return edges.groupBy("u").agg(F.min_by("v", F.struct(F.xxhash64(F.lit(seed), "u", "v"), F.col("v"))).alias("v"))
+    return edges.groupBy("u").agg(F.min_by("v", F.struct(mixed_hash_32(seed, F.col("u"), F.col("v")), F.col("v"))).alias("v"))
 
 
 def random_neighbour(edges: DataFrame, probability: float, seed: int) -> DataFrame:
@@ -35,7 +36,7 @@ def split_edges(edges: DataFrame, power: int, seed: int) -> tuple[DataFrame, Dat
 
 def random_relabelling(edges: DataFrame, seed: int) -> DataFrame:
     """A bijection ``(node, component)`` from the n distinct ids to a random permutation of 1..n."""
-    keyed = endpoints(edges).distinct().withColumn("key", F.xxhash64(F.lit(seed), "node"))
+    keyed = endpoints(edges).distinct().withColumn("key", mixed_hash_32(seed, F.col("node")))
     return with_position(keyed, ["key", "node"], "component", start=1).select("node", "component")
 
 

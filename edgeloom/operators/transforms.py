@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.operators.ordering import with_position
+from edgeloom.session import stable
 
 
 def orient_small_to_large(edges: DataFrame) -> DataFrame:
@@ -45,8 +46,9 @@ def flag_origin(edges: DataFrame, name: str, value: object) -> DataFrame:
 
 
 def tee(df: DataFrame, *selections: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
-    """Several outputs over one input. Each output is lazy; checkpoint ``df`` first if it is costly to compute."""
-    return [select(df) for select in selections]
+    """Several outputs over one pass of the input: it is computed and written down once, and every output reads that."""
+    shared = stable(df)
+    return [select(shared) for select in selections]
 
 
 def shift_ids(edges: DataFrame, add: int = 0, subtract: int = 0) -> DataFrame:

@@ -15,7 +15,7 @@ from edgeloom.operators import joins, sampling
 from edgeloom.operators.aggregates import unique_nodes
 from edgeloom.operators.checks import canonical
 from edgeloom.operators.transforms import normalize
-from edgeloom.plans.contraction import STRATEGIES, large_star, small_star
+from edgeloom.plans.contraction import STRATEGIES, forward_first, large_star, small_star, tree_to_stars
 from edgeloom.plans.kernel import forest, solve_locally
 from edgeloom.plans.policies import POLICIES
 from edgeloom.session import stable
@@ -135,7 +135,14 @@ def _functional(edges: DataFrame, m: int, contraction: str, policy: int, seed: i
     maps: list[DataFrame] = []
     if rules.contract(n, m, level, memory):
         goal = n - rules.nodes_to_contract(n, m, level, memory)
-        for round_ in range(MAX_ROUNDS):
+        if contraction == "forward" and n > goal:
+            # exactly so many nodes as the policy asks for
+            tree, edges = forward_first(edges, n - goal)
+            maps.append(stable(tree_to_stars(tree)))
+            m, n = edges.count(), goal
+            if not m:
+                return _fold(maps[:-1], maps[-1])
+        for round_ in range(MAX_ROUNDS if n > goal and m > base else 0):
             edges, labels = STRATEGIES[contraction](edges, seed=seed + 31 * level + round_, **options)
             maps.append(labels)
             m = edges.count()

@@ -7,15 +7,19 @@ plan starts from a written table.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.operators import joins, sampling
 from edgeloom.operators.aggregates import min_neighbour, range_bundles, unique_nodes
-from edgeloom.operators.transforms import symmetrize
+from edgeloom.operators.ordering import with_position
+from edgeloom.operators.transforms import normalize, symmetrize
 from edgeloom.plans.kernel import local_forest
+from edgeloom.plans.measure import contract_in_order
 from edgeloom.session import stable
 
 Contracted = tuple[DataFrame, DataFrame]
@@ -107,6 +111,53 @@ def forward(edges: DataFrame, seed: int = 0) -> Contracted:
     return _finish(edges, tree_to_stars(top))
 
 
+#: Edges below the limit that one task contracts in order; more are contracted in rounds first.
+IN_ORDER_EDGES = 2_000_000
+
+
+def forward_first(edges: DataFrame, k: int, in_order_edges: int = IN_ORDER_EDGES) -> tuple[DataFrame, DataFrame]:
+    """Contracts the k smallest sources, in ascending order, each into its largest neighbour; ``k = 0`` contracts all.
+
+    Returns the tree ``(u, v)`` of the contracted sources and the edges left over among the other nodes, both normalized.
+    A node is a source if it has a larger neighbour when its turn comes: the neighbours it had, and those that contracted
+    ones have sent it (the other neighbours of a contracted node go on to its target).
+
+    Nodes that no smaller one is joined to have all their edges, so they are contracted together, round by round. Once few
+    edges below the limit are left, one task contracts the rest in order. Long ascending paths take a round a node until then.
+    """
+    edges, tree, done = stable(normalize(edges)), None, 0
+    while not edges.isEmpty():
+        if k:
+            # of all nodes left, the smallest that may still be sources; those that turn out to be none are made up for
+            limit = with_position(unique_nodes(edges), ["node"]).where(F.col("pos") < k - done).agg(F.max("node")).head()[0]
+        else:
+            limit = edges.agg(F.max("u")).head()[0]
+        low = edges.where(F.col("u") <= limit)
+        while (m := low.count()) > in_order_edges:
+            first = edges.where(F.col("u") <= limit).select("u").distinct().join(edges.select(F.col("v").alias("u")), "u", "left_anti")
+            top = stable(edges.join(first, "u", "left_semi").groupBy("u").agg(F.max("v").alias("top")))
+            sent = edges.join(top, "u").where("v <> top").select(F.least("v", "top").alias("u"), F.greatest("v", "top").alias("v"))
+            tree = top.toDF("u", "v") if tree is None else stable(tree.unionByName(top.toDF("u", "v")))
+            edges = stable(edges.join(top, "u", "left_anti").unionByName(sent).distinct())
+            low = edges.where(F.col("u") <= limit)
+        if m:
+            both = stable(low.repartition(1).mapInArrow(partial(_contract_up_to, limit=limit), "u long, v long, tree boolean"))
+            mine = both.where("tree").select("u", "v")
+            tree = mine if tree is None else stable(tree.unionByName(mine))
+            edges = stable(edges.where(F.col("u") > limit).unionByName(both.where("not tree").select("u", "v")).distinct())
+        done = tree.count()
+        if k and done >= k:
+            break
+    return (edges.limit(0) if tree is None else tree), edges
+
+
+def _contract_up_to(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    pairs = [p for b in batches for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    rows, _, left = contract_in_order(pairs, "last", limit=limit)
+    out = [(r[0], r[3], True) for r in rows] + [(u, v, False) for u, v in left]
+    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["u", "v", "tree"])
+
+
 def bundles(edges: DataFrame, seed: int = 0, num_bundles: int = 64) -> Contracted:
     """Merges what is connected inside id ranges, all ranges at once: one shuffle by range, then a streamed kernel."""
     top = edges.agg(F.max(F.greatest("u", "v"))).head()[0]

@@ -5,6 +5,8 @@ Graphs come from whole tables: even ids ``2k + 2`` for one side, odd ids ``2k +
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,8 @@ from edgeloom.operators import aggregates, checks, filters, joins, ordering, sam
 from edgeloom.plans import contraction, measure
 from edgeloom.plans.components import connected_components
 from edgeloom.plans.policies import POLICIES
+from edgeloom.session import ensure_checkpoint_dir
+from edgeloom.sources import edges as files
 from edgeloom.sources import generators
 from edgeloom.sources.edges import from_columns
 
@@ -191,7 +195,9 @@ both("minus_edges", f"WITH {OP}, {OC} SELECT u, v FROM op EXCEPT SELECT u, v FRO
 both("disjoint_union", f"WITH {OC}, {CN} SELECT u, v, 0 AS input FROM oc UNION ALL SELECT u, v, 1 FROM cn", lambda s, d: sets.disjoint_union(order_customer(s, d), customer_nation(s, d)))
 both("sorted_edges", f"WITH {EDGES} SELECT u, v FROM edges ORDER BY u, v", lambda s, d: ordering.order_by(transforms.normalize(order_part(s, d)), "edge"))
 both("is_sorted", "SELECT TRUE AS is_sorted", lambda s, d: ordering.is_sorted(transforms.index_edges(transforms.normalize(order_part(s, d))), ["u", "v"], "rank"))
-both("shuffle_rows", f"WITH {EDGES} SELECT u, v FROM edges", lambda s, d: ordering.shuffle_rows(transforms.normalize(order_part(s, d)), seed=5))
+both("is_sorted_fails", "SELECT FALSE AS is_sorted", lambda s, d: ordering.is_sorted(transforms.index_edges(transforms.normalize(order_part(s, d))), ["v"], "rank"))
+both("shuffle_rows", f"WITH {EDGES}, h AS (SELECT u, v, {hashing.mixed_hash_sql('h', 5, 'u', 'v')} FROM edges) SELECT u, v, row_number() OVER (ORDER BY h, u, v) - 1 AS place FROM h",
+     lambda s, d: ordering.with_position(transforms.normalize(order_part(s, d)).withColumn("h", ordering.shuffle_order(5, ["u", "v"])[0]), ["h", "u", "v"], "place").drop("h"))
 
 # --- checks ----------------------------------------------------------------------------------------------------------
 both("stars_only", f"WITH {LABELS} SELECT count(*) = count(DISTINCT node) AND NOT EXISTS (SELECT 1 FROM m a JOIN m b ON a.component = b.node WHERE b.node <> b.component) AS stars_only FROM m", on(order_labels, checks.stars_only))
@@ -201,16 +207,20 @@ both("compare_report", f"WITH {LABELS}, x AS (SELECT u AS node, max(v) AS compon
      lambda s, d: checks.compare_report(order_labels(s, d), order_part(s, d).groupBy(F.col("u").alias("node")).agg(F.max("v").alias("component"))))
 both("id_gaps", f"WITH {LABELS} SELECT max(node) - min(node) + 1 - count(DISTINCT node) AS gaps FROM m", on(order_labels, checks.id_gaps))
 
-# --- sampling: what does not depend on the draw ------------------------------------------------------------------------
-both("random_out_edge", f"WITH {OP} SELECT u, 1::BIGINT AS picked, TRUE AS is_edge FROM op GROUP BY u",
-     lambda s, d: sampling.random_out_edge(order_part(s, d), 3).join(order_part(s, d).distinct().withColumn("e", F.lit(True)), ["u", "v"], "left").groupBy("u").agg(F.count("v").alias("picked"), F.max(F.col("e").isNotNull()).alias("is_edge")))
-both("coin_split", f"WITH {OP} SELECT u, v, 1::BIGINT AS sides FROM op GROUP BY u, v",
-     lambda s, d: sets.disjoint_union(*sampling.split_edges(filters.dedup_equal(order_part(s, d)), 2, seed=9)).groupBy("u", "v").agg(F.count("input").alias("sides")))
-both("random_relabelling", f"WITH {OP}, {NODES} SELECT count(*) AS nodes, count(*) AS labels, 1::BIGINT AS low, count(*) AS high FROM nodes",
-     lambda s, d: sampling.random_relabelling(order_part(s, d), 4).agg(F.count("node").alias("nodes"), F.countDistinct("component").alias("labels"), F.min("component").alias("low"), F.max("component").alias("high")))
-both("random_neighbour", None, lambda s, d: sampling.random_neighbour(order_part(s, d), 0.5, 7))
-both("sampled_sources", f"WITH {OP} SELECT count(DISTINCT u) AS sources FROM op", lambda s, d: sampling.sampled_sources(order_part(s, d), 0.4, 7).select((F.col("sampled") + F.col("unsampled")).alias("sources")))
-both("relabel_randomly", f"WITH {OP}, {NODES} SELECT (SELECT count(*) FROM op) AS edges, (SELECT count(*) FROM nodes) AS nodes", lambda s, d: aggregates.graph_size(sampling.relabel_randomly(order_part(s, d), 4)).select("edges", "nodes"))
+# --- sampling ------------------------------------------------------------------------------------------------------------
+UV_HASH = f"h AS (SELECT u, v, {hashing.mixed_hash_sql('h', 3, 'u', 'v')} FROM (SELECT DISTINCT u, v FROM op))"
+both("random_out_edge", f"WITH {OP}, {UV_HASH} SELECT u, arg_min(v, (h, v)) AS v FROM h GROUP BY u", lambda s, d: sampling.random_out_edge(order_part(s, d), 3))
+both("random_neighbour", f"WITH {OP}, {UV_HASH}, c AS (SELECT u, v, h, {hashing.mixed_hash_sql('coin', 4, 'u')} FROM h) SELECT u, arg_min(v, (h, v)) AS v FROM c WHERE coin / 4294967296.0 < 0.5 GROUP BY u",
+     lambda s, d: sampling.random_neighbour(order_part(s, d), 0.5, 3))
+both("coin_split", f"WITH {OP}, c AS (SELECT u, v, {hashing.mixed_hash_sql('coin', 9, 'u', 'v')} FROM (SELECT DISTINCT u, v FROM op)) SELECT u, v, CASE WHEN coin & 3 = 3 THEN 0 ELSE 1 END AS input FROM c",
+     lambda s, d: sets.disjoint_union(*sampling.split_edges(filters.dedup_equal(order_part(s, d)), 2, seed=9)))
+PERMUTED = f"p AS (SELECT node, row_number() OVER (ORDER BY h, node) AS component FROM (SELECT node, {hashing.mixed_hash_sql('h', 4, 'node')} FROM nodes))"
+ALL_NODES = "nodes AS (SELECT u AS node FROM op UNION SELECT v FROM op)"
+both("random_relabelling", f"WITH {OP}, {ALL_NODES}, {PERMUTED} SELECT node, component FROM p", lambda s, d: sampling.random_relabelling(order_part(s, d), 4))
+both("relabel_randomly", f"WITH {OP}, {ALL_NODES}, {PERMUTED} SELECT least(a.component, b.component) AS u, greatest(a.component, b.component) AS v FROM op JOIN p a ON op.u = a.node JOIN p b ON op.v = b.node",
+     lambda s, d: sampling.relabel_randomly(order_part(s, d), 4))
+both("sampled_sources", f"WITH {OP}, c AS (SELECT u, {hashing.mixed_hash_sql('coin', 8, 'u')} FROM (SELECT DISTINCT u FROM op)) SELECT count(*) FILTER (coin / 4294967296.0 < 0.4) AS sampled, count(*) FILTER (coin / 4294967296.0 >= 0.4) AS unsampled FROM c",
+     lambda s, d: sampling.sampled_sources(order_part(s, d), 0.4, 7))
 both("sample_per_key", f"WITH {OP} SELECT u, least(count(*), 2) AS n FROM op GROUP BY u", lambda s, d: sampling.sample_per_key(order_part(s, d), "u", 2, 1).groupBy("u").agg(F.count("v").alias("n")))
 
 # --- hashes and sketches -------------------------------------------------------------------------------------------------
@@ -241,7 +251,7 @@ def _mom_sql() -> str:
 both("median_of_means_estimate", _mom_sql(), lambda s, d: transforms.endpoints(order_part(s, d)).agg(sketches.median_of_means(F.col("node")).alias("estimate")))
 both("sketch_both_sides", f"WITH {OP}, h AS (SELECT min({H32.format(A32, 'u', B32)}) AS l, min({H32.format(A32, 'v', B32)}) AS r FROM op) SELECT CAST(floor(4294967295 / l - 1) AS BIGINT) AS left_nodes, CAST(floor(4294967295 / r - 1) AS BIGINT) AS right_nodes, CAST(floor(4294967295 / least(l, r) - 1) AS BIGINT) AS all_nodes FROM h",
      lambda s, d: order_part(s, d).agg(*sketches.both_sides(F.col("u"), F.col("v"), A32, B32)))
-both("kmv_estimate", None, lambda s, d: sketches.k_minimum_values(transforms.endpoints(order_part(s, d)), "node", 256))
+both("kmv_estimate", f"WITH {OP}, {NODES}, h AS (SELECT {hashing.mixed_hash_sql('a', 1, 'node')}, {hashing.mixed_hash_sql('b', 2, 'node')} FROM nodes), w AS (SELECT DISTINCT (a * 2097152 + (b >> 11) + 1) / 9007199254740992.0 AS w FROM h ORDER BY w LIMIT 256) SELECT CASE WHEN count(*) < 256 THEN count(*) ELSE CAST(floor(255 / max(w)) AS BIGINT) END AS estimate FROM w", lambda s, d: sketches.k_minimum_values(transforms.endpoints(order_part(s, d)), "node", 256))
 both("approx_count_nodes", None, on(order_part, aggregates.approx_count_nodes))
 both("hll_count_nodes", None, on(order_part, aggregates.hll_count_nodes))
 
@@ -250,8 +260,64 @@ both("gen_path", "SELECT i AS u, i + 1 AS v FROM range(1, 5000) t(i)", lambda s,
 both("gen_grid", "WITH c AS (SELECT i, i % 70 AS x, i // 70 AS y FROM range(4200) t(i)) SELECT i + 1 AS u, i + 2 AS v FROM c WHERE x < 69 UNION ALL SELECT i + 1, i + 71 FROM c WHERE y < 59", lambda s, d: generators.grid(s, 70, 60))
 both("gen_cube", "WITH c AS (SELECT i, i % 20 AS x, (i // 20) % 15 AS y, i // 300 AS l FROM range(1800) t(i)) SELECT a.i + 1 AS u, b.i + 1 AS v FROM c a JOIN c b ON a.l = b.l AND a.i < b.i AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2", lambda s, d: generators.cube(s, 20, 15, 6, 2))
 both("gen_cliques", "SELECT a.i + 1 AS u, b.i + 1 AS v FROM range(1200) a(i) JOIN range(1200) b(i) ON a.i // 12 = b.i // 12 AND a.i < b.i", lambda s, d: generators.cliques(s, 12, 100))
-both("gen_gilbert", None, lambda s, d: generators.gilbert(s, 20_000, 2.0, 11))
-both("gen_uniform", "SELECT 50000::BIGINT AS edges", lambda s, d: generators.uniform_edges(s, 1 << 20, 50_000, 3).agg(F.count("u").alias("edges")))
+GN, GD, GS = 20_000, 2.0, 11
+G_BLOCKS, G_SIZE, G_DRAWS = generators.gilbert_blocks(GN, GD)
+G_KEEP = math.log1p(-2 * GD / (GN - 1))
+both("gen_gilbert", f"""WITH k AS (SELECT block, k FROM range({G_BLOCKS}) a(block), range({G_DRAWS}) b(k)), h AS (SELECT block, k, {hashing.mixed_hash_sql('h', GS, 'block', 'k')} FROM k),
+    p AS (SELECT block, sum(least(CAST(floor(ln((h + 0.5) / 4294967296.0) / ({G_KEEP!r}::DOUBLE)) AS BIGINT) + 1, {G_SIZE})) OVER (PARTITION BY block ORDER BY k) - 1 AS place FROM h),
+    n AS (SELECT CAST(block * {G_SIZE} + place AS BIGINT) AS i FROM p WHERE place < {G_SIZE}), v AS (SELECT r, r * (r - 1) // 2 AS first FROM range(1, {GN}) t(r))
+    SELECT i - first + 1 AS u, r + 1 AS v FROM n ASOF JOIN v ON n.i >= v.first WHERE i < {GN * (GN - 1) // 2}""",
+     lambda s, d: generators.gilbert(s, GN, GD, GS))
+both("gen_uniform", f"SELECT a % 1000000 + 1 AS u, b % 1000000 + 1 AS v FROM (SELECT {hashing.mixed_hash_sql('a', 4, 'i')}, {hashing.mixed_hash_sql('b', 5, 'i')} FROM range(50000) t(i))",
+     lambda s, d: generators.uniform_edges(s, 1_000_000, 50_000, 3))
+
+# --- files ---------------------------------------------------------------------------------------------------------------
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that the driver and all executors share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(name: str, sql: str, back: Callable[[SparkSession, DataFrame, str], DataFrame], source: Callable = order_part) -> None:
+    """A query that writes a graph to files and returns what a scan of them gives."""
+    both(name, sql, lambda spark, sf: back(spark, source(spark, sf), folder(spark, name)))
+
+
+def _binary(spark: SparkSession, e: DataFrame, path: str) -> DataFrame:
+    files.write_binary(e, path)
+    return files.from_binary(spark, path)
+
+
+def _text(spark: SparkSession, e: DataFrame, path: str) -> DataFrame:
+    files.write_text(e, path)
+    return files.from_text(spark, path, add=5, subtract=2)
+
+
+def _csv(spark: SparkSession, e: DataFrame, path: str) -> DataFrame:
+    files.write_csv(aggregates.degree_distribution(e), path)
+    return spark.read.csv(path, header=True, schema="degree long, count long")
+
+
+def _parquet(spark: SparkSession, e: DataFrame, path: str) -> DataFrame:
+    files.write_parquet(e, path)
+    return spark.read.parquet(path)
+
+
+def _replaced(spark: SparkSession, e: DataFrame, path: str) -> DataFrame:
+    files.write_parquet(e, path)
+    files.replace_parquet(spark, path, transforms.normalize)
+    return spark.read.parquet(path)
+
+
+stored("binary_round_trip", f"WITH {OP} SELECT u, v FROM op", _binary)
+stored("read_graph", f"WITH {OP} SELECT DISTINCT u, v FROM op", lambda s, e, p: files.write_binary(e, p) and files.read_graph(s, p))
+stored("read_graph_report", f"WITH {LOOPY} SELECT count(*) AS edges_in, count(DISTINCT (u, v)) AS kept, count(*) - count(DISTINCT (u, v)) AS dropped FROM loopy", lambda s, e, p: files.scan_report(_binary(s, e, p)), loopy)
+stored("text_round_trip", f"WITH {OP} SELECT u + 5 - 2 AS u, v + 5 - 2 AS v FROM op", _text)
+stored("csv_round_trip", f"{DEG} SELECT degree, count(*) AS count FROM deg GROUP BY degree", _csv)
+stored("parquet_round_trip", f"WITH {OP} SELECT u, v FROM op", _parquet)
+stored("replace_in_place", f"WITH {EDGES} SELECT u, v FROM edges", _replaced)
+both("edges_from_values", "SELECT i AS u, i * i + 1 AS v FROM range(1, 200) t(i)", lambda s, d: files.from_values(s, [(i, i * i + 1) for i in range(1, 200)]))
 
 # --- contraction and components ------------------------------------------------------------------------------------------
 both("cc_local", cc_sql(OC, "oc"), on(order_customer, connected_components, "local"))
@@ -260,6 +326,8 @@ both("cc_part_supplier_min", cc_sql(PS, "ps", "min"), on(part_supplier, connecte
 both("cc_customer_nation", cc_sql(CN, "cn"), on(customer_nation, connected_components))
 for _name in ("boruvka", "kkt", "star", "forward", "bundles"):
     both(f"cc_{_name}", cc_sql(OC, "oc"), on(order_customer, connected_components, _name, base_case_edges=ROUNDS_BASE, seed=2))
+    both(f"cc_order_part_{_name}", cc_sql(OP, "op"), on(order_part, connected_components, _name, base_case_edges=ROUNDS_BASE, seed=3))
+    both(f"cc_path_{_name}", "SELECT i AS node, 600::BIGINT AS component FROM range(1, 601) t(i)", lambda s, d, n=_name: connected_components(generators.path(s, 600), n, base_case_edges=50, seed=1))
 for _name in ("forward", "kkt", "star"):
     both(f"cc_functional_{_name}", cc_sql(OC, "oc"), on(order_customer, connected_components, "functional", contraction=_name, policy=2 if _name == "forward" else 0, base_case_edges=ROUNDS_BASE, seed=2))
 both("cc_component_sizes", cc_sql(OC, "oc", tail="SELECT label AS component, count(*) AS size, TRUE AS has_root_row FROM cc GROUP BY label"),
@@ -270,9 +338,53 @@ both("same_partition", "SELECT TRUE AS same", lambda s, d: checks.same_partition
 both("boruvka_round", cc_sql(CN, "cn"), lambda s, d: checks.canonical(contraction.boruvka(transforms.normalize(customer_nation(s, d)))[1], "max"))
 both("tree_to_stars", f"WITH {OC}, {CN}, t AS (SELECT u AS node, 2 * c_nationkey::BIGINT + 2 AS root FROM oc JOIN customer ON v = 2 * c_custkey + 3 UNION SELECT 2 * c_custkey + 3, 2 * c_nationkey::BIGINT + 2 FROM customer) SELECT node, root + 1000000000 AS component FROM t UNION SELECT root + 1000000000, root + 1000000000 FROM t",
      lambda s, d: contraction.tree_to_stars(order_customer(s, d).unionByName(customer_labels(s, d).select(F.col("node").alias("u"), (F.col("component") + 1_000_000_000).alias("v")))))
-both("minimized_inter_edges", cc_sql(PS, "ps", "min"), lambda s, d: connected_components(contraction.minimized_inter_edges(transforms.normalize(part_supplier(s, d)), 8, aggregates.max_node_id(part_supplier(s, d)).head()[0]), representative="min"))
+BUNDLES = "w AS (SELECT greatest(1, max(v) // 8) AS w FROM e), b AS (SELECT u, v, least((u - 1) // w, 7) AS bu, least((v - 1) // w, 7) AS bv FROM e, w)"
+both("minimized_inter_edges", f"WITH {PS}, e AS (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM ps WHERE u <> v), {BUNDLES} SELECT u, v FROM b WHERE bu = bv UNION SELECT u, coalesce(lead(u) OVER (PARTITION BY bu, v ORDER BY u), v) FROM b WHERE bu <> bv",
+     lambda s, d: contraction.minimized_inter_edges(transforms.normalize(part_supplier(s, d)), 8, aggregates.max_node_id(part_supplier(s, d)).head()[0]))
+both("minimized_inter_components", cc_sql(PS, "ps", "min"), lambda s, d: connected_components(contraction.minimized_inter_edges(transforms.normalize(part_supplier(s, d)), 8, aggregates.max_node_id(part_supplier(s, d)).head()[0]), representative="min"))
 both("duplicate_text_components", "SELECT doc_id AS node, min(doc_id) OVER (PARTITION BY text) AS component FROM documents WHERE text IS NOT NULL", lambda s, d: _same_texts(s, d))
-both("measure_forward", None, lambda s, d: measure.measure_forward(customer_nation(s, d), "last"))
+
+
+def forward_sql(ctes: str, graph: str, k: int, tail: str) -> str:
+    """Sequential forward contraction of the k smallest sources: a row for each, with the edges left after it."""
+    return f"""WITH RECURSIVE {ctes}, g AS (SELECT list({{'u': u, 'v': v}}) AS es FROM (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM {graph} WHERE u <> v)),
+    s(i, node, neighbours, duplicates, target, es) AS (SELECT 0, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, es FROM g
+      UNION ALL SELECT i + 1, mn, len(ds)::BIGINT, (len(ts) - len(ds))::BIGINT, mx,
+        list_concat(list_filter(es, lambda x: x.u <> mn), list_transform(list_filter(ds, lambda x: x <> mx), lambda x: {{'u': least(x, mx), 'v': greatest(x, mx)}}))
+      FROM (SELECT i, es, mn, ts, list_distinct(ts) AS ds, list_max(ts) AS mx FROM
+        (SELECT i, es, mn, list_transform(list_filter(es, lambda x: x.u = mn), lambda x: x.v) AS ts FROM
+          (SELECT i, es, list_min(list_transform(es, lambda x: x.u)) AS mn FROM s WHERE i < {k} AND len(es) > 0)))) {tail}"""
+
+
+_TREE, _LEFT = "SELECT node AS u, target AS v FROM s WHERE i > 0", "SELECT DISTINCT e.u AS u, e.v AS v FROM (SELECT unnest(es) AS e FROM s WHERE i = (SELECT max(i) FROM s))"
+SMALL_GRAPH = "cs AS (SELECT 2 * c_custkey + 2 AS u, 2 * (c_custkey * c_custkey % 97) + 3 AS v FROM customer WHERE c_custkey <= 400)"
+
+
+def small_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """The customers up to 400, joined to numbers made of their keys: few edges, for what is sequential in SQL."""
+    c = table(spark, sf, "customer").where("c_custkey <= 400")
+    return from_columns(c, 2 * F.col("c_custkey") + 2, 2 * (F.col("c_custkey") * F.col("c_custkey") % 97) + 3)
+
+
+both("measure_forward", forward_sql(SMALL_GRAPH, "cs", 1_000_000, "SELECT node, neighbours, duplicates, target FROM s WHERE i > 0"), lambda s, d: measure.measure_forward(small_graph(s, d), "last"))
+for _k in (1, 60, 250):
+    both(f"forward_first_{_k}_tree", forward_sql(SMALL_GRAPH, "cs", _k, _TREE), lambda s, d, k=_k: contraction.forward_first(small_graph(s, d), k)[0])
+    both(f"forward_first_{_k}_left", forward_sql(SMALL_GRAPH, "cs", _k, _LEFT), lambda s, d, k=_k: contraction.forward_first(small_graph(s, d), k, in_order_edges=100)[1])
+both("forward_all_tree", forward_sql(SMALL_GRAPH, "cs", 1_000_000, _TREE), lambda s, d: contraction.forward_first(small_graph(s, d), 0, in_order_edges=150)[0])
+both("tree_to_stars_seeded", f"WITH {OC}, t AS (SELECT u AS node, 2 * c_nationkey::BIGINT + 2 AS root FROM oc JOIN customer ON v = 2 * c_custkey + 3 UNION SELECT 2 * c_custkey + 3, 2 * c_nationkey::BIGINT + 2 FROM customer), n AS (SELECT 2 * CAST(n_nationkey AS BIGINT) + 2 AS node, -1 - CAST(n_regionkey AS BIGINT) AS component FROM nation) SELECT t.node, n.component FROM t JOIN n ON t.root = n.node UNION ALL SELECT node + 1099511627776, component FROM n",
+     lambda s, d: _seeded(s, d))
+
+
+def _seeded(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders and customers as trees below nations, whose labels, their regions, are known from elsewhere."""
+    n = table(spark, sf, "nation").select((2 * F.col("n_nationkey").cast("long") + 2).alias("node"), (-1 - F.col("n_regionkey").cast("long")).alias("component"))
+    c = table(spark, sf, "customer").select((2 * F.col("c_custkey") + 3).alias("u"), (2 * F.col("c_nationkey").cast("long") + 2).alias("v"))
+    orders = order_customer(spark, sf).join(c.select(F.col("u").alias("v")), "v", "left_semi").select("u", "v")
+    # order ids and nation ids share the even numbers: nations move out of the way
+    far = 1 << 40
+    tree = orders.unionByName(c.select("u", (F.col("v") + far).alias("v")))
+    return contraction.tree_to_stars(tree, n.select((F.col("node") + far).alias("node"), "component"))
+
 
 
 def _same_texts(spark: SparkSession, sf: str) -> DataFrame:

@@ -43,6 +43,13 @@ def read_graph(spark: SparkSession, path: str) -> DataFrame:
     return from_binary(spark, path).distinct()
 
 
+def scan_report(scanned: DataFrame) -> DataFrame:
+    """One row ``edges_in, kept, dropped`` for a scan and its copy without duplicates."""
+    return scanned.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("edges_in"), F.count(F.lit(1)).alias("kept"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("dropped")
+    )
+
+
 def from_text(spark: SparkSession, path: str, skip: int = 0, add: int = 0, subtract: int = 0) -> DataFrame:
     """Text scan: two decimal integers a line, after ``skip`` header lines of each file; ids are shifted.
 

@@ -5,9 +5,13 @@ All emit ``u < v`` with ids from 1, except ``uniform_edges``, which is not orien
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from edgeloom.functions.hashing import mixed_hash_32
+
 
 def path(spark: SparkSession, n: int) -> DataFrame:
     """``(i, i + 1)`` for i from 1 to n - 1."""
@@ -46,19 +50,38 @@ def cliques(spark: SparkSession, size: int, k: int) -> DataFrame:
     return nodes.select((i + 1).alias("u"), F.explode(F.sequence(i + 2, last)).alias("v"))
 
 
-def gilbert(spark: SparkSession, n: int, density: float, seed: int) -> DataFrame:
-    """About ``density * n`` distinct edges of the n(n-1)/2 possible, drawn by hashes of the seed.
+def gilbert(spark: SparkSession, n: int, density: float, seed: int, block_edges: int = 4096) -> DataFrame:
+    """G(n, p) with ``p = 2 * density / (n - 1)``: every pair ``u < v`` of 1..n is an edge with probability p, independently.
 
-    Draws ``round(density * n)`` pairs with endpoints from hashes, drops loops and repeats. For sparse graphs this is
-    the usual stand-in for independent coins on all pairs, without enumerating the pairs.
+    Pairs are numbered and cut into blocks; within a block, the gaps between edges are geometric draws from hashes of the
+    seed, so no pair without an edge is looked at. ``density * n`` edges on average.
     """
-    m = round(density * n)
-    end = lambda s: F.pmod(F.xxhash64(F.lit(seed), F.lit(s), "id"), F.lit(n)) + 1
-    pairs = spark.range(m).select(end(1).alias("a"), end(2).alias("b")).where("a <> b")
-    return pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    pairs, p = n * (n - 1) // 2, min(1.0, 2 * density / max(1, n - 1))
+    if pairs <= 0 or p <= 0:
+        return spark.createDataFrame([], "u long, v long")
+    blocks, size, draws = gilbert_blocks(n, density, block_edges)
+    k = spark.range(blocks).select(F.col("id").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1)).cast("array<long>")).alias("k"))
+    unit = (mixed_hash_32(seed, F.col("block"), F.col("k")) + 0.5) / F.lit(float(1 << 32))
+    gap = F.lit(1) if p >= 1 else F.least(F.floor(F.ln(unit) / F.lit(math.log1p(-p))) + 1, F.lit(size))
+    place = F.sum(gap.cast("long")).over(Window.partitionBy("block").orderBy("k")) - 1
+    at = k.select("block", place.alias("place")).where(F.col("place") < size)
+    number = at.select((F.col("block") * size + F.col("place")).alias("i")).where(F.col("i") < pairs)
+    # pair i: v is the largest number with (v - 1) * (v - 2) / 2 <= i; the root may be off by one
+    root = F.floor((F.sqrt(8.0 * F.col("i") + 1) + 1) / 2).cast("long")
+    below = lambda r: F.expr(f"{r} * ({r} - 1) div 2")
+    found = number.withColumn("r", root)
+    found = found.withColumn("r", F.when(below("r") > F.col("i"), F.col("r") - 1).when(below("(r + 1)") <= F.col("i"), F.col("r") + 1).otherwise(F.col("r")))
+    return found.select((F.col("i") - below("r") + 1).alias("u"), (F.col("r") + 1).alias("v"))
+
+
+def gilbert_blocks(n: int, density: float, block_edges: int = 4096) -> tuple[int, int, int]:
+    """Blocks of pairs, pairs of a block, and draws of a block: ten standard deviations more than its mean of edges."""
+    pairs, p = n * (n - 1) // 2, min(1.0, 2 * density / max(1, n - 1))
+    size = min(pairs, max(1, math.ceil(block_edges / p)))
+    return -(-pairs // size), size, min(size, math.ceil(size * p + 10 * math.sqrt(size * p) + 20))
 
 
 def uniform_edges(spark: SparkSession, n: int, m: int, seed: int) -> DataFrame:
-    """m edges with both ends uniform in 1..n; loops and repeats may occur."""
-    end = lambda s: F.pmod(F.xxhash64(F.lit(seed), F.lit(s), "id"), F.lit(n)) + 1
+    """m edges with both ends uniform in 1..n (n up to 2**32); loops and repeats may occur."""
+    end = lambda s: F.pmod(mixed_hash_32(seed + s, F.col("id")), F.lit(n)) + 1
     return spark.range(m).select(end(1).alias("u"), end(2).alias("v"))

@@ -78,7 +78,7 @@ def test_checks(spark):
 
 def test_positions(spark):
     e = E(spark, *[(i % 7, i) for i in range(200)])
-    got = [tuple(r) for r in ordering.with_position(e, ["u", "v"], "p", buckets=5).orderBy("p").collect()]
+    got = [tuple(r) for r in ordering.with_position(e, ["u", "v"], "p").orderBy("p").collect()]
     assert [r[2] for r in got] == list(range(200))
     assert [r[:2] for r in got] == sorted(r[:2] for r in got)
     assert ordering.is_sorted(ordering.with_position(e, ["u", "v"], "p"), ["u", "v"], "p").head()[0]
