@@ -17,7 +17,9 @@ _LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 #: The tokenizer's own rules part texts at all these places too.
 ITEM = re.compile(f"[{_LATIN}]+(?=[{_SPACE}.,!?]|$)|[.,!?]+(?=[{_SPACE}]|$)|[^{_SPACE}]+")
 PLAIN = re.compile(f"[{_LATIN}]+")
-CACHE_ITEMS = 600_000
+#: Items and chunks that a worker holds: some 250 bytes each.
+CACHE_ITEMS = 400_000
+CACHE_CHUNKS = 400_000
 #: Signs at which ``str.split`` parts texts and ``ITEM`` does not.
 _SEPARATOR = re.compile("[\x1c-\x1f]")
 
@@ -73,7 +75,7 @@ class WordTokenizer:
         if not self.apart:
             return self._whole([t or "" for t in texts])
         split = [(ITEM.findall(t) if _SEPARATOR.search(t) else t.split()) if t else [] for t in texts]
-        if len(self.chunks) > 3 * self.limit:
+        if len(self.chunks) > CACHE_CHUNKS:
             self.chunks = {}
         fresh = set().union(*split).difference(self.chunks)
         parted = {x: ITEM.findall(x) for x in fresh}
