@@ -327,7 +327,7 @@ both("cc_customer_nation", cc_sql(CN, "cn"), on(customer_nation, connected_compo
 for _name in ("boruvka", "kkt", "star", "forward", "bundles"):
     both(f"cc_{_name}", cc_sql(OC, "oc"), on(order_customer, connected_components, _name, base_case_edges=ROUNDS_BASE, seed=2))
     both(f"cc_order_part_{_name}", cc_sql(OP, "op"), on(order_part, connected_components, _name, base_case_edges=ROUNDS_BASE, seed=3))
-    both(f"cc_path_{_name}", "SELECT i AS node, 600::BIGINT AS component FROM range(1, 601) t(i)", lambda s, d, n=_name: connected_components(generators.path(s, 600), n, base_case_edges=50, seed=1))
+    both(f"cc_path_{_name}", "SELECT i AS node, 200::BIGINT AS component FROM range(1, 201) t(i)", lambda s, d, n=_name: connected_components(generators.path(s, 200), n, base_case_edges=60, seed=1))
 for _name in ("forward", "kkt", "star"):
     both(f"cc_functional_{_name}", cc_sql(OC, "oc"), on(order_customer, connected_components, "functional", contraction=_name, policy=2 if _name == "forward" else 0, base_case_edges=ROUNDS_BASE, seed=2))
 both("cc_component_sizes", cc_sql(OC, "oc", tail="SELECT label AS component, count(*) AS size, TRUE AS has_root_row FROM cc GROUP BY label"),
