@@ -66,7 +66,7 @@ def test_runs_of_short_sentences(spark):
     data = [(1, f"Own words. {passage} Other."), (2, f"Something else stands here. {passage} Unlike."), (3, "Yes it is. A new beginning here. Nothing more. Done. What else is there?")]
     docs = spark.createDataFrame([(d, t, None, None, 0) for d, t in data], SCHEMA)
     texts, covered = dict(data), {d: set() for d, _ in data}
-    for d, a, b, n, kept, at in rows(substrings.repeated_spans(docs, runs=True)):
+    for d, a, b, n, kept, at, _ in rows(substrings.repeated_spans(docs, runs=True)):
         assert substrings.normalize(texts[kept][at:]).startswith(substrings.normalize(texts[d][a:b])) and n >= 8
         covered[d] |= set(range(a, b))
     a = texts[2].index(passage)
