@@ -81,7 +81,7 @@ def test_runs_of_short_sentences(spark):
 def test_spans_of_rows_that_share_an_id(spark):
     """Rows without an id, and texts that share one, lose their own spans only; other rows stay whole."""
     a, b = "This sentence has quite a few more than eight words in it.", "And here is another one that is also long enough for that."
-    data = [(1, f"{a} One."), (2, f"Two {a}"), (2, f"{b} x y z and some unrelated words that stay."), (None, f"{a} Four."), (None, f"q {b}"), (3, f"{b} tail")]
+    data = [(1, f"{a} One."), (2, f"Two. {a}"), (2, f"{b} x y z and some unrelated words that stay."), (None, f"{a} Four."), (None, f"q. {b}"), (3, f"{b} tail")]
     docs = spark.createDataFrame([(d, t, None, None, 0) for d, t in data], SCHEMA)
     spans = substrings.repeated_spans(docs)
     got = sorted(rows(substrings.remove_spans(clash(docs), spans), "doc_id", "text"), key=str)
