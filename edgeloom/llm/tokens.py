@@ -17,9 +17,12 @@ _LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 #: The tokenizer's own rules part texts at all these places too.
 ITEM = re.compile(f"[{_LATIN}]+(?=[{_SPACE}.,!?]|$)|[.,!?]+(?=[{_SPACE}]|$)|[^{_SPACE}]+")
 PLAIN = re.compile(f"[{_LATIN}]+")
-#: Items and chunks that a worker holds: some 250 bytes each.
-CACHE_ITEMS = 400_000
-CACHE_CHUNKS = 400_000
+#: Plain punctuation that ``ITEM`` parts from the Latin word before it.
+CLINGING = re.compile(f"[.,!?](?<=[{_LATIN}][.,!?])[.,!?]*(?=[{_SPACE}]|$)")
+#: Signs that a tokenizer may lower otherwise than ``str.lower``, or join with a sign beside them first.
+_UNSURE = re.compile("[\u0130\u0250-\U0010ffff]")
+#: Items that a worker holds: some 250 bytes each.
+CACHE_ITEMS = 800_000
 #: Signs at which ``str.split`` parts texts and ``ITEM`` does not.
 _SEPARATOR = re.compile("[\x1c-\x1f]")
 
@@ -39,17 +42,28 @@ class WordTokenizer:
         # two generations: what is used again moves to the young one, the rest is forgotten with the old one
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        # what stands between white space, as a whole: words with the punctuation that clings to them
-        self.chunks: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.largest = max(vocabulary.values(), default=0)
         self.ends = np.zeros(self.largest + 1, bool)
-        self.apart = all(self._whole([t])[0] == b"".join(self._whole(ITEM.findall(t))) for t in PROBES)
+        self.special = [x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        # a tokenizer that lowers all letters itself gives the same ids for words that are lowered, and cached, before
+        signs = [x for x in map(chr, range(0x21, 0x250)) if not _UNSURE.match(x)] + [t.upper() for t in PROBES]
+        self.lowers = self._whole(signs) == self._whole([x.lower() for x in signs])
+        self.apart = all(self._whole([t])[0] == b"".join(self._whole(part)) for t in PROBES for part in (ITEM.findall(t), self.items(t)))
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def items(self, text: str) -> list[str]:
+        """Parts of a text whose ids are the text's, one after the other; in lower case where that cannot change them."""
+        if _SEPARATOR.search(text):
+            return ITEM.findall(text)
+        if self.lowers and not _UNSURE.search(text):
+            low = text.lower()
+            text = text if any(x in low for x in self.special) else low
+        return CLINGING.sub(r" \g<0>", text).split()
+
     def _learn(self, items: list[str]) -> None:
         plain, rest = [], []
         for x in items:
@@ -74,25 +88,18 @@ class WordTokenizer:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.apart:
             return self._whole([t or "" for t in texts])
-        split = [(ITEM.findall(t) if _SEPARATOR.search(t) else t.split()) if t else [] for t in texts]
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks = {}
-        fresh = set().union(*split).difference(self.chunks)
-        parted = {x: ITEM.findall(x) for x in fresh}
+        split = [self.items(t) if t else [] for t in texts]
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         missing = []
-        for x in set().union(*parted.values()).difference(self.young):
+        for x in set().union(*split).difference(self.young):
             if (known := self.old.get(x)) is None:
                 missing.append(x)
             else:
                 self.young[x] = known
         self._learn(missing)
         of = self.young.__getitem__
-        for x, items in parted.items():
-            self.chunks[x] = of(items[0]) if len(items) == 1 else b"".join(map(of, items))
-        of = self.chunks.__getitem__
-        return [b"".join(map(of, chunks)) for chunks in split]
+        return [b"".join(map(of, items)) for items in split]
 
 
 _LOADED: dict[str, WordTokenizer] = {}

@@ -66,6 +66,22 @@ def test_cached_encoding_equals_the_library():
         assert tok.encode(part) == want
 
 
+def test_words_are_learned_once():
+    """Forms of a word that have the same ids are one item, and punctuation that clings to a word is no new one."""
+    tok, plain, learned = WordTokenizer(PATH), Tokenizer.from_file(PATH), []
+    learn = tok._learn
+    tok._learn = lambda items: learned.extend(items) or learn(items)
+    texts = ["Straße Word word. word, WORD!", "word? STRAßE... word.", "word <|ENDOFTEXT|> <|endoftext|> WORD", "I'S 'LL ÀÉ Ĳ İ", "Σας ΣΑΣ. Word"]
+    for t in texts:
+        assert tok.encode([t]) == [np.asarray(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes()]
+    for t in texts[:2] * 2:
+        tok.encode([t])
+    assert len(learned) == len(set(learned))
+    first = WordTokenizer(PATH)
+    first.encode(texts[:2])
+    assert set(first.young) == {"straße", "word", ".", ",", "!", "?", "..."}
+
+
 def test_pack(spark):
     docs = corpus(spark)
     got = rows(packing.pack(clash(docs), PATH, capacity=64), "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
