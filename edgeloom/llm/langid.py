@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgeloom.llm import tokens
+
 #: Bytes of a window, hidden units each way.
 WINDOW = 64
 HIDDEN = 12
@@ -25,6 +27,9 @@ STEPS = 260
 BATCH = 192
 #: Windows that go through the network at once when predicting.
 BLOCK = 2048
+#: Rows, and about as many bytes of text, that a worker holds beside the batch it was sent.
+ROWS = 512
+TEXT_BYTES = 1 << 22
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
@@ -217,6 +222,30 @@ def fit(docs: DataFrame, steps: int = STEPS) -> Network | None:
     return train(windows, labels, steps) if labels else None
 
 
+def named(net: Network | None, batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, their last column, the texts, replaced by languages and scores."""
+    tokens.forget()  # a stage before may have left its tokenizer in this worker
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS):
+            b = batch.slice(first, ROWS)
+            texts = b.column(b.num_columns - 1).to_pylist()
+            known = [net is not None and t is not None and bool(LETTER.search(t)) for t in texts]
+            lang: list[str] = []
+            score: list[float] = []
+            at, held, size = 0, [], 0
+            for i, (t, k) in enumerate(zip(texts, known, strict=True)):
+                held.append(t.encode() if k else b"")
+                size += len(held[-1])
+                if size >= TEXT_BYTES or i + 1 == len(texts):
+                    p = predict(net, held) if net is not None else np.zeros((len(held), 1))
+                    best = p.argmax(axis=1)
+                    for j in range(len(held)):
+                        lang.append(net.languages[best[j]] if known[at + j] else UNKNOWN)
+                        score.append(float(min(1.0, p[j, best[j]])) if known[at + j] else 0.0)
+                    at, held, size = i + 1, [], 0
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=columns)
+
+
 def identify(docs: DataFrame, net: Network | None, column: str = "text", carry: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Adds ``lang_pred`` and ``score`` (mean probability of the language over all positions) to the carried columns.
 
@@ -229,23 +258,6 @@ def identify(docs: DataFrame, net: Network | None, column: str = "text", carry:
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            known = [model is not None and t is not None and bool(LETTER.search(t)) for t in texts]
-            lang: list[str] = []
-            score: list[float] = []
-            at, held, size = 0, [], 0
-            for i, (t, k) in enumerate(zip(texts, known, strict=True)):
-                held.append(t.encode() if k else b"")
-                size += len(held[-1])
-                if size >= 1 << 22 or i + 1 == len(texts):
-                    p = predict(model, held) if model is not None else np.zeros((len(held), 1))
-                    best = p.argmax(axis=1)
-                    for j in range(len(held)):
-                        lang.append(model.languages[best[j]] if known[at + j] else UNKNOWN)
-                        score.append(float(min(1.0, p[j, best[j]])) if known[at + j] else 0.0)
-                    at, held, size = i + 1, [], 0
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*carry, *names])
+        return named(sent.value, batches, [*carry, *names])
 
     return inner.mapInArrow(run, f"{schema + ', ' if schema else ''}`{names[0]}` string, `{names[1]}` double")

@@ -2,10 +2,12 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import SCHEMA, clash, empty, rows
 
-from edgeloom.llm import langid
+from edgeloom.llm import langid, tokens
 
 SYLLABLES = {"aa": ["the", "of", "and", "ing", "er"], "bb": ["ção", "não", "que", "em", "os"], "cc": ["der", "schl", "ung", "ein", "ü"]}
 
@@ -88,3 +90,18 @@ def test_names_of_the_outputs(spark, labelled):
     docs = clash(labelled)
     got = langid.identify(docs, None, names=("__a", "__b"))
     assert got.columns == [*docs.columns, "__a", "__b"]
+
+
+def test_worker_holds_few_rows_and_no_tokenizer():
+    tokens.word_tokenizer(public_tokenizers.path("word_bpe_49k.json")).encode(["left by a stage before"])
+    n = 2 * langid.ROWS + 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([None if i % 5 == 0 else f"the of {i}" for i in range(n)])], names=["doc_id", "__text"])
+    net = langid.fresh(["a", "b"], 4, 1)
+    out = list(langid.named(net, iter([batch, batch.slice(0, 0)]), ["doc_id", "language", "certainty"]))
+    assert not tokens._LOADED
+    assert max(b.num_rows for b in out) <= langid.ROWS
+    got = pa.Table.from_batches(out).to_pydict()
+    assert got["doc_id"] == list(range(n))
+    assert [x == "und" for x in got["language"]] == [i % 5 == 0 for i in range(n)]
+    (whole,) = langid.predict(net, [f"the of {n - 1}".encode()])
+    assert got["certainty"][-1] == pytest.approx(whole.max(), rel=1e-5)
