@@ -12,7 +12,7 @@ import hashlib
 import json
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +128,19 @@ def numbered(recs: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, np.nda
     return d, np.cumsum(count) - count, int(count.sum())
 
 
+def opened_records(ids: pa.Array, of: np.ndarray, mine: np.ndarray, width: int, decompress: Callable[[bytes], bytes]) -> Iterator[tuple[bytes, int, int]]:
+    """The bytes of the records that are ``mine``, some documents at a time, and where those documents' records begin and end.
+
+    of: each record's document. Only documents with a record of ``mine`` are opened; a round has none of many.
+    """
+    for at in range(0, len(ids), 256):
+        i, j = np.searchsorted(of, (at, at + 256)).tolist()
+        place, wanted = of[i:j] - at, np.zeros(256, bool)
+        wanted[place[mine[i:j]]] = True
+        data = b"".join(map(decompress, ids.take(pa.array(at + np.flatnonzero(wanted))).to_pylist()))
+        yield np.frombuffer(data, f"V{width}")[mine[i:j][wanted[place]]].tobytes(), i, j
+
+
 def materialize(docs: DataFrame, tokenizer: str, path: str, seed: int = 0, record_ids: int = RECORD_IDS, shard_records: int = SHARD_RECORDS, end_id: int = 0) -> DataFrame:
     """Writes shards and manifest below ``path``, a fresh folder; returns ``doc_id, piece, number, slot, shard, position, crc32``.
 
@@ -181,12 +194,14 @@ def materialize(docs: DataFrame, tokenizer: str, path: str, seed: int = 0, recor
                 return pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]] - low, pa.int32()), listed, pa.array(blobs, pa.binary())], names=["shard", "slots", "ids"])
 
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    b = batch.slice(at, 256)
-                    slot = permutation.slots(count.of(b.column(0).to_numpy(), b.column(1).value_lengths().to_numpy().astype(np.int64))[2])
-                    mine = (slot >= low * shard_records) & (slot < high * shard_records)
-                    data = np.frombuffer(b"".join(map(unpack.decompress, b.column(2).to_pylist())), f"V{stride - 1}")
-                    held.append(data[mine].tobytes()), slots.append(slot[mine])
+                k = batch.column(1).value_lengths().to_numpy().astype(np.int64)
+                if not len(k):
+                    continue
+                of, _, number = count.of(batch.column(0).to_numpy(), k)
+                slot = permutation.slots(number)  # at once: its steps have a cost of their own
+                mine = (slot >= low * shard_records) & (slot < high * shard_records)
+                for data, i, j in opened_records(batch.column(2), of, mine, stride - 1, unpack.decompress):
+                    held.append(data), slots.append(slot[i:j][mine[i:j]])
                     waiting += len(slots[-1])
                     if waiting >= PARCEL_RECORDS:
                         yield parcels()

@@ -17,9 +17,11 @@ _LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 #: Items of a text: a Latin word up to plain punctuation, that punctuation at a word's end, or else all up to white space.
 #: The tokenizer's own rules part texts at all these places too.
 ITEM = re.compile(f"[{_LATIN}]+(?=[{_SPACE}.,!?]|$)|[.,!?]+(?=[{_SPACE}]|$)|[^{_SPACE}]+")
-PLAIN = re.compile(f"[{_LATIN}]+")
-#: Plain punctuation that ``ITEM`` parts from the Latin word before it.
-CLINGING = re.compile(f"[.,!?](?<=[{_LATIN}][.,!?])[.,!?]*(?=[{_SPACE}]|$)")
+#: Latin words of items parted by blanks.
+PLAIN = re.compile(f"(?<![^ ])[{_LATIN}]+(?![^ ])")
+#: Plain punctuation that ``ITEM`` parts from the Latin word before it; its first sign, one pattern for each, as searches for
+#: one sign and constants put in place are the fastest.
+CLINGING = [(p, re.compile(f"{re.escape(p)}(?<=[{_LATIN}]{re.escape(p)})(?=[.,!?]*(?:[{_SPACE}]|$))")) for p in ".,!?"]
 #: Signs that a tokenizer may lower otherwise than ``str.lower``, or join with a sign beside them first.
 _UNSURE = re.compile("[\u0130\u0250-\U0010ffff]")
 #: Items that a worker holds: some 250 bytes each.
@@ -63,14 +65,21 @@ class WordTokenizer:
         if self.lowers and not _UNSURE.search(text):
             low = text.lower()
             text = text if any(x in low for x in self.special) else low
-        return CLINGING.sub(r" \g<0>", text).split()
+        for sign, clinging in CLINGING:
+            if sign in text:
+                text = clinging.sub(" " + sign, text)
+        return text.split()
 
     def _learn(self, items: list[str]) -> None:
         plain, rest = [], []
         for x in items:
-            (plain if PLAIN.fullmatch(x) else rest).append(x)
+            (plain if x.isalpha() else rest).append(x)
         for i in range(0, len(plain), 1000):
-            part = plain[i : i + 1000]
+            part = PLAIN.findall(" ".join(plain[i : i + 1000]))
+            if len(part) < len(plain[i : i + 1000]):  # letters of other scripts
+                rest += set(plain[i : i + 1000]).difference(part)
+            if not part:
+                continue
             (coded,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
             ids = np.asarray(coded.ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1

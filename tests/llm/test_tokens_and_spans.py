@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from helpers import AWKWARD, SCHEMA, clash, corpus, empty, rows
 from tokenizers import Tokenizer
@@ -116,6 +117,27 @@ def test_feistel():
     assert (a != b).mean() > 0.99 and abs(np.corrcoef(a, np.arange(5000))[0, 1]) < 0.06
 
 
+def test_rounds_open_their_own_documents_only():
+    rng = np.random.default_rng(3)
+    k = rng.integers(1, 4, 700)
+    of = np.repeat(np.arange(700), k)
+    records = [rng.bytes(6) for _ in of]
+    blobs = [b"".join(r for r, d in zip(records, of, strict=True) if d == i) for i in range(700)]
+    mine, opened = rng.random(len(of)) < 0.2, []
+    mine[of < 256] &= of[of < 256] == 9  # of the first documents one at most
+    got = list(shuffle.opened_records(pa.array(blobs), of, mine, 6, lambda b: opened.append(b) or b))
+    assert b"".join(x for x, _, _ in got) == b"".join(r for r, m in zip(records, mine, strict=True) if m)
+    assert [(i, j) for _, i, j in got] == [(int(np.searchsorted(of, a)), int(np.searchsorted(of, a + 256))) for a in (0, 256, 512)]
+    assert opened == [blobs[i] for i in np.unique(of[mine])]
+    assert not any(x for x, _, _ in shuffle.opened_records(pa.array(blobs), of, mine & False, 6, None))
+
+
+def test_items_of_other_scripts():
+    tok = tokens.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["one.,two one., two.?! a. 1. x1. ß! µm. ª. абв. слово word 日本. x.日 İx. Don't. e\x1cf.", "абв где", "ªb ºc ĸ ŉ. ǅ ɐ."]
+    assert tok.encode(texts) == tok._whole(texts)
+
+
 def test_training_order_round_trip(spark, tmp_path):
     docs = corpus(spark, 60, extra=[(None, "no id", None, None), (1001, "", None, None)])
     path = str(tmp_path / "order")
