@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from edgeloom import connected_components
 from edgeloom.operators import checks
-from edgeloom.plans import contraction, measure
+from edgeloom.plans import components, contraction, measure
 from edgeloom.plans.components import ALGORITHMS, star_components
 from edgeloom.plans.kernel import components_of
 from edgeloom.sources import generators
@@ -145,3 +145,18 @@ def test_stars_alone(spark):
     make = lambda r: spark.createDataFrame(r, "u long, v long")
     assert rows(star_components(make([]))) == []
     assert rows(star_components(make([(-5, 3), (3, 3), (8, 8), (None, 1)]))) == [(-5, -5), (3, -5), (8, 8)]
+
+
+def test_plans_of_many_rounds_stay_small(spark, monkeypatch):
+    leaves = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+    e = generators.path(spark, 65)
+    labels = connected_components(e, "boruvka", base_case_edges=1)
+    assert rows(labels) == union_find(rows(e)) and leaves(labels) < 12
+    maps = [spark.createDataFrame([(i, i + 1), (i + 1, i + 1)], "node long, component long") for i in range(9)]
+    folded = components._fold(maps, spark.createDataFrame([(9, 9)], "node long, component long"))
+    assert rows(folded) == [(i, 9) for i in range(10)] and leaves(folded) < 12
+    # a draw is one hash, not a tree of thousands of products
+    picks = []
+    monkeypatch.setattr(contraction.joins, "break_paths", lambda s: picks.append(s) or s.where("false"))
+    contraction.star(e)
+    assert len(picks[0]._jdf.queryExecution().optimizedPlan().toString()) < 3000
