@@ -160,3 +160,12 @@ def test_plans_of_many_rounds_stay_small(spark, monkeypatch):
     monkeypatch.setattr(contraction.joins, "break_paths", lambda s: picks.append(s) or s.where("false"))
     contraction.star(e)
     assert len(picks[0]._jdf.queryExecution().optimizedPlan().toString()) < 3000
+
+
+def test_size_estimates_do_not_grow_over_rounds(spark):
+    from edgeloom.session import stable_in_loop
+
+    e = stable_in_loop(spark.range(20).selectExpr("id as u", "id + 1 as v"))
+    for _ in range(6):
+        e = stable_in_loop(e.join(e.toDF("v", "w"), "v", "left").selectExpr("u", "coalesce(w, v) as v"))
+    assert len(str(e._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 40
